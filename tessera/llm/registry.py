@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash
+from tessera.llm import decontamination, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash_near_dedup": simhash.op1_simhash_near_dedup}
+    return {
+        "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_benchmark_decontamination": decontamination.OP9_SQL}
