@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, packing, simhash
+from tessera.llm import chat, decontamination, packing, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op3_warc_revisits": warc.op3_warc_revisits,
+        "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": decontamination.OP9_SQL}
+    return {
+        "op3_warc_revisits": warc.OP3_SQL,
+        "op5_chat_formatting": chat.OP5_SQL,
+        "op9_benchmark_decontamination": decontamination.OP9_SQL,
+    }
