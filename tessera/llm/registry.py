@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontamination, packing, simhash, warc
+from tessera.llm import chat, decontamination, langid, packing, simhash, tiff, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc_revisits": warc.op3_warc_revisits,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op8_tiff_media": tiff.op8_tiff_media,
         "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
