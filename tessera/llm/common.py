@@ -8,7 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a few numbers each that may be broadcast; what has more is shuffled.
+BROADCAST_ROWS = 400_000
 _own_folder: str | None = None
 
 
@@ -46,3 +49,8 @@ def remove(df: DataFrame) -> None:
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a table of narrow rows, marked for broadcast if it has few enough of them; its rows are counted first."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontamination, langid, packing, quality, simhash, tiff, urlfilter, warc
+from tessera.llm import chat, decontamination, langid, linededup, packing, quality, simhash, tiff, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_url_filters": urlfilter.op2_url_filters,
         "op3_warc_revisits": warc.op3_warc_revisits,
+        "op4_line_dedup": linededup.op4_line_dedup,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_quality_classifier": quality.op7_quality_classifier,

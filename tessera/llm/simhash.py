@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, small, table
 from tessera.llm.components import connected_components
 
 WORDS, RADIUS = 4, 4
@@ -170,6 +170,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """docs with one document of each group: that with the group's smallest doc_id, and one row of it if it has several.
+
+    Documents without a doc_id can't be named, and stay.
+    """
+    found = cut(near_duplicates(docs, words, radius), "simhash-groups")
+    named = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
+    special = cut(named.where("NOT stays OR rows > 1"), "simhash-special")
+    joined = docs.join(small(special).withColumnRenamed("doc_id", "special_id"), F.col("doc_id").cast("long") == F.col("special_id"), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = joined.where("special_id IS NULL").select(*columns)
+    if special.where("stays").isEmpty():
+        out = single
+    else:
+        out = single.unionByName(joined.where("stays").select(*columns).dropDuplicates(["doc_id"]))
+    return out
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
