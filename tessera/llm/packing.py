@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,61 +30,77 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, table
 
 CAPACITY, END = 4096, 1
-SLACK, CHUNK, FAN, CARRY = 8, 200_000, 8, 20_000
-REMEMBERED, AT_ONCE = 250_000, 6_000_000  # words that a worker remembers; characters that it takes at once
+SLACK, CHUNK, FAN, CARRY, REMEMBERED = 8, 200_000, 8, 20_000, 300_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose tokens never span white space, through a bounded memory of words.
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
-    New words go to the tokenizer together, as one text: a token that ends a word says so in this vocabulary, so the ids
-    part again into words. Words with anything but letters, a closing comma or full stop apart, go to it one by one.
+
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How byte-level BPE writes bytes: the printed ones as themselves, the others from code point 256 on.
+_BYTES = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+class WordTokenizer(dict):
+    """Ids (little-endian, 32-bit) of words by a tokenizer whose tokens never span white space; ids() has those of a text.
+
+    A word's letters go straight to the tokenizer's BPE model, in the byte alphabet that its pre-tokenizer writes; ASCII
+    signs before and after them are tokens of their own, and are learnt apart. Words with anything else in them, or
+    that normalising could change in other ways than to lower case, go through the whole tokenizer. The memory has two
+    generations of at most REMEMBERED words: a word that the older one has moves on when it is met again.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.whole, self.memory, self.remembered = Tokenizer.from_file(path), {}, remembered
+        super().__init__()
+        self.whole, self.remembered, self.older = Tokenizer.from_file(path), remembered, {}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        vocabulary = self.whole.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self._alone([m])[0] for m in ",."}
-
-    def _alone(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: Iterable[str]) -> None:
-        """Remembers the ids of words."""
-        letters: dict[str, list[tuple[str, str]]] = {}
-        others = []
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if w[-1] in self.marks else (w, "")
-            if core.isalpha():
-                letters.setdefault(core.lower() if core.isascii() else core, []).append((w, mark))
-            else:
-                others.append(w)
-        for at in range(0, len(names := list(letters)), 20_000):
-            part = names[at : at + 20_000]
-            ids = np.array(self.whole.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            raw = ids.tobytes()
-            found = [raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops)] if len(stops) == len(part) else self._alone(part)
-            for name, x in zip(part, found):
-                for w, mark in letters[name]:
-                    self.memory[w] = x + self.marks[mark] if mark else x
-        self.memory.update(zip(others, self._alone(others)))
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]  # str.split() takes those four for white space
-        if len(self.memory) > self.remembered:
-            self.memory.clear()
-        self._learn(set().union(*filter(None, split)) - self.memory.keys())
-        for text, words in zip(texts, split):
-            yield self._alone([text])[0] if words is None else b"".join(map(self.memory.__getitem__, words))
+        self.tokenize = self.whole.model.tokenize
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _mark(self, signs: str) -> bytes:
+        if signs not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            self.marks[signs] = self._alone(signs)
+        return self.marks[signs]
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.remembered:
+            self.older = dict(self)
+            self.clear()
+        if (ids := self.older.get(word)) is None:
+            ids = self._learnt(word)
+        self[word] = ids
+        return ids
+
+    def _learnt(self, word: str) -> bytes:
+        before = after = ""
+        core = word
+        if not word.isalpha():
+            tail = word.lstrip(_SIGNS)
+            core = tail.rstrip(_SIGNS)
+            before, after = word[: len(word) - len(tail)], tail[len(core) :]
+            if not core.isalpha() or before.endswith("'"):  # 's and its like are tokens
+                return self._alone(word)
+        low = core.lower()
+        if not core.isascii():
+            if not low.isalpha() or "\u03a3" in core or not is_normalized("NFC", core):
+                return self._alone(word)
+            low = low.encode().decode("latin-1").translate(_BYTES)
+        ids = array("I", [t.id for t in self.tokenize(low)]).tobytes()
+        return self._mark(before) + ids + self._mark(after) if before or after else ids
+
+    def ids(self, text: str) -> bytes:
+        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() takes those four for white space
+            return self._alone(text)
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,22 +137,12 @@ def _carried(fill: np.ndarray, capacity: int) -> np.ndarray:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) for each piece of each document; ids are little-endian 32-bit."""
 
-    def all_ids(words: WordTokenizer, texts: pa.Array) -> Iterator[bytes]:
-        held, size = [], 0
-        for t in texts:
-            held.append(t.as_py() or "")
-            size += len(held[-1])
-            if size >= AT_ONCE:
-                yield from words.ids(held)
-                held, size = [], 0
-        yield from words.ids(held)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, wide = WordTokenizer(tokenizer), np.array([END], "<u4").tobytes(), 4 * capacity
         for b in batches:
             out: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), all_ids(words, b.column(1))):
-                ids += end
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = words.ids(text.as_py() or "") + end
                 for at in range(0, len(ids), wide):
                     part = ids[at : at + wide]
                     out.append((doc, at // wide, at // 4, len(part) // 4, zlib.crc32(part), part))
