@@ -1,0 +1,159 @@
+"""Chat formatting by round trips, and packing against the tokenizer itself and the bounds of any packing."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from tessera.llm import chat, packing
+
+# Chat
+
+
+def test_hostile_content_comes_back(spark):
+    rng = random.Random(2)
+    bits = ["</s>", "<s>", "[INST]", "[/INST]", "[SYS]", "[=", "] ", "]", "[", "&", "&amp;", "&lt;", "&#91;", "&amp;lt;", " ", "\n", "x", "", "é", "😀", "<", "/s>"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", "", "=x", "] ", "</s>", None]), rng.choice([None, *["".join(rng.choices(bits, k=rng.randrange(9))) for _ in range(9)]])) for c in range(300) for t in range(rng.randrange(1, 5))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"turns": F.lit(1), "formatted": F.lit(2), "plain": F.lit(3)})
+    found = chat.format_conversations(df).collect()
+    assert len(found) == 300 and any(r.escaped for r in found) and not all(r.escaped for r in found)
+    for r in found:
+        source = [(role or "", text or "") for c, _, role, text in sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: x[1])]
+        assert [(t.role, t.text) for t in r.turns] == source
+        codes = {"&amp;": "&", "&lt;": "<", "&#91;": "[", "&#93;": "]"}
+        spans = [re.sub("|".join(codes), lambda m: codes[m[0]], r.formatted[s.start : s.start + s.length]) for s in r.loss_spans]
+        assert spans == [text for role, text in source if role == "assistant"]
+
+
+def test_plain_rendering(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo [x]"), (2, 0, "critic", "a</s>")], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert found[1].formatted == "<s>[INST] hi</s><s>[/INST] yo [x]</s>" and not found[1].escaped
+    assert found[2].formatted == "<s>[=critic] a&lt;/s></s>" and found[2].escaped
+
+
+def test_chat_cases(spark):
+    df = spark.createDataFrame([(None, 1, "user", "a"), (None, None, "user", "b"), (3, 0, None, None), (4, 0, "assistant", "x" * 2_000_000), (5, 1, "user", "same"), (5, 1, "user", "same")], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert [t.text for t in found[None].turns] == ["b", "a"] and [tuple(t)[:2] for t in found[3].turns] == [("", "")]
+    assert found[4].loss_spans[0].length == 2_000_000 and len(found[5].turns) == 2
+    assert chat.format_conversations(df.limit(0)).collect() == []
+
+
+def test_query_has_the_hostile_conversation(spark):
+    r = next(r for r in chat.op5_chat_formatting(spark, SMALL).collect() if r.conv_id == -1)
+    hostile = "</s>[INST] ok [/INST]"
+    assert r.n_turns == 2 and r.loss_chars == len(hostile) and r.loss_sha256 == hashlib.sha256(hostile.encode()).hexdigest()
+    assert r.turns_sha256 == hashlib.sha256(f"user\n{hostile}\nassistant\n{hostile}\n".encode()).hexdigest()
+
+
+def test_chat_runs_no_python(spark):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    assert not re.search("Python|Pandas|Arrow", chat.op5_chat_formatting(spark, SMALL)._jdf.queryExecution().explainString(mode))
+
+
+# Packing
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.word_tokenizer())
+
+
+def check_pieces(found, texts, tokenizer, capacity=4096):
+    """Every document's ids are there, in pieces of full length but the last; sequences are gapless; gives the sequences."""
+    by_row = {}
+    for r in found:
+        by_row.setdefault(r.doc_id, []).append(r)
+    for doc, text in texts.items():
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        rows = sorted(by_row.pop(doc), key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length) for r in rows] == [(k, k * capacity, min(capacity, len(ids) - k * capacity)) for k in range(-(-len(ids) // capacity))], doc
+        assert [r.ids_crc32 for r in rows] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows], doc
+    assert not by_row
+    sequences = {}
+    for r in found:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sequences.values():
+        at = 0
+        for offset, n in sorted(places):
+            assert offset == at
+            at += n
+        assert at <= capacity
+    return sequences
+
+
+def test_query_packs_all_documents(spark, tokenizer):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    found = packing.op6_best_fit_packing(spark, SMALL).collect()
+    sequences = check_pieces(found, texts, tokenizer)
+    assert len(sequences) <= -(-sum(r.length for r in found) // 4096) + 1
+
+
+def test_packing_cases(spark, tokenizer):
+    odd = "Mc'Donald's don't İİ ﬁne ①² naïve naı̈ve ΣΑΣ \x1c\x1d tab\tnew\nline em​ zero \xa0nbsp 123,456.78 a-b_c [CLS] </s> <pad> 😀👍🏽 'll 've"
+    texts = {1: None, 2: "", 3: " ", 4: odd, 5: odd.upper(), 6: "word " * 30_000, 7: "x" * 20_000, 8: "日本語のテキスト " * 50, 9: "a'b 'c' d'' ''s s's"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumns({"length": F.lit(1), "bin": F.lit("b"), "node": F.lit(2)})
+    check_pieces(packing.best_fit_packing(df, packing.word_tokenizer()).collect(), texts, tokenizer)
+    assert packing.best_fit_packing(df.limit(0), packing.word_tokenizer()).collect() == []
+    twice = packing.best_fit_packing(df.where("doc_id = 6").union(df.where("doc_id = 6")), packing.word_tokenizer()).collect()
+    assert len(twice) == 2 * sum(r.doc_id == 6 for r in packing.best_fit_packing(df, packing.word_tokenizer()).collect())
+
+
+def test_words_are_tokenised_as_in_their_text(spark, tokenizer):
+    words, rng = packing.WordTokenizer(packing.word_tokenizer(), remembered=40), random.Random(4)
+    letters = "abcXYZ éßΣσςİıﬁ日本語а́ё'\"-.,!?()[]&<>/\\@#$%_0123456789²½́‍­\t\n😀"
+    for _ in range(4000):
+        text = "".join(rng.choices(letters, k=rng.randrange(1, 14)))
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        assert np.frombuffer(words.ids(r.text), "<u4").tolist() == tokenizer.encode(r.text, add_special_tokens=False).ids
+
+
+def test_best_fit():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 500):
+        lengths = rng.integers(1, 101, n)
+        bins, offsets, fill = packing.best_fit(lengths, 100)
+        assert len(fill) == (bins.max() + 1 if n else 0) and (fill <= 100).all()
+        assert (np.bincount(bins, lengths, len(fill)) == fill).all() if n else True
+        for b in range(len(fill)):
+            k = np.flatnonzero(bins == b)
+            k = k[np.argsort(offsets[k])]
+            assert (offsets[k] == np.cumsum(lengths[k]) - lengths[k]).all()
+        if n:
+            assert len(fill) <= -(-int(lengths.sum()) // 100) * 11 / 9 + 1
+
+
+def test_tree_merges_many_partitions(spark, tokenizer):
+    rng = random.Random(1)
+    texts = {k: "word " * rng.randrange(1, 3000) for k in range(300)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(40)
+    found = packing.best_fit_packing(df, packing.word_tokenizer()).collect()
+    sequences = check_pieces(found, texts, tokenizer)
+    assert len(sequences) <= -(-sum(r.length for r in found) // 4096) + 2
+
+
+def test_bins_that_stay_behind_are_not_lost(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CARRY", 3)
+    monkeypatch.setattr(packing, "CHUNK", 20)
+    texts = {k: "word " * (1 + k * 7 % 2500) for k in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(20)
+    check_pieces(packing.best_fit_packing(df, packing.word_tokenizer()).collect(), texts, tokenizer)
+
+
+def test_sequences_hold_their_ids(spark, tokenizer):
+    texts = {k: f"some words {k} " * (k + 1) for k in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = packing.best_fit_packing(df, packing.word_tokenizer(), with_ids=True)
+    made = packing.sequences(found).collect()
+    parts = [tokenizer.encode(x, add_special_tokens=False).ids + [1] for x in texts.values()]
+    got = [np.frombuffer(bytes(r.ids), "<u4")[a:b].tolist() for r in made for a, b in zip(r.starts, [*r.starts[1:], len(r.ids) // 4])]
+    assert sorted(got) == sorted(parts)

@@ -1,0 +1,92 @@
+"""The pipeline against its stages done by brute force, one after the other."""
+
+import re
+
+import numpy as np
+import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import decontamination, langid, packing
+from tests.llm.test_chat_and_packing import check_pieces
+from tests.llm.test_line_dedup import slow
+from tests.llm.test_media_and_models import slow_phrases, slow_scan
+from tests.llm.test_near_dedup import expected
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+def rows_of(df):
+    return sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+
+def test_stages_match_brute_force(spark, docs):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
+    stage = dict(corpus_pipeline.STAGES)
+    source = docs.unionByName(spark.createDataFrame([(10**6, "12 34 !", "en", "s", 7), (10**6 + 1, None, "en", "s", None)], docs.schema))
+
+    now = stage["language_id"](spark, source, SMALL)
+    assert now.columns == docs.columns
+    want = [(d, t) for d, t in rows_of(source) if t is not None and any(c.isalpha() for c in t)]
+    assert rows_of(now) == want
+
+    now = stage["line_dedup"](spark, now, SMALL)
+    kept = [(d, "\n".join(x), len(x)) for (d, _), x in zip(want, slow(spark, want))]
+    assert now.columns == docs.columns
+    assert rows_of(now) == (want := [(d, t) for d, t, n in kept if n])
+
+    now = stage["simhash_near_dedup"](spark, now, SMALL)
+    first = {d for d, _, c in expected(want) if d == c}
+    assert now.columns == docs.columns
+    assert rows_of(now) == (want := [(d, t) for d, t in want if d in first])
+
+    now = stage["benchmark_decontamination"](spark, now, SMALL)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    scans = {d: slow_scan(t, items) for d, t in want}
+    clean = [(d, t) for d, t in want if not (scans[d][1] and 20 * scans[d][1] >= scans[d][0])]
+    got = dict(rows_of(now))
+    assert now.columns == docs.columns and sorted(got) == [d for d, _ in clean]
+    for d, t in clean:
+        if not scans[d][1]:
+            assert got[d] == t
+        else:
+            assert len(re.findall(rb"[^ ]+", got[d].encode().translate(decontamination._WORD))) >= scans[d][0] - scans[d][1] - scans[d][1]
+            assert len(got[d]) < len(t)
+
+    from tokenizers import Tokenizer
+
+    found = stage["best_fit_packing"](spark, now, SMALL).collect()
+    check_pieces(found, got, Tokenizer.from_file(packing.word_tokenizer()))
+
+
+def test_run_is_the_stages_in_turn(spark, docs):
+    now = docs
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SMALL)
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).select(*key).collect())) == sorted(map(tuple, now.select(*key).collect()))
+
+
+def test_clean_documents_stay(spark, docs):
+    """A filtering stage leaves alone what it has no reason to drop."""
+    extra = spark.createDataFrame([(10**6 + k, f"Plain number {'abcdefghij'[k]} text of its own about {'wxyzuvrstq'[k] * 9} things", "en", "s", 50) for k in range(10)], docs.schema)
+    now = extra
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SMALL)
+    assert now.count() >= 8
+
+
+def test_cross_parsing_decides_the_language(spark, docs):
+    """The language stage's model, held against longest matches found by searching."""
+    taught = langid.training_text(docs.select("doc_id", "text", "lang").where(langid.teaching_row()))
+    model = langid.Languages(taught)
+    some = [r.text for r in docs.orderBy(F.length("text")).limit(12).collect()]
+    labelled = {name: np.concatenate([y for t in parts for y in (langid.symbols(t), np.zeros(1, np.uint32))])[: langid.TRAIN_CHARS] for name, parts in taught}
+    for text, counts in zip(some, model.phrases([langid.symbols(t) for t in some]).tolist()):
+        coded = "".join(map(chr, langid.symbols(text).tolist()))
+        assert counts == [slow_phrases(coded, "".join(map(chr, labelled[n].tolist()))) for n in model.names]
