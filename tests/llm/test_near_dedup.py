@@ -108,3 +108,70 @@ def test_one_of_each_group_stays(spark):
     assert (None, "a b c d e f", "n") in found and len(found) == 4
     assert simhash.deduplicate(docs).columns == docs.columns
     assert simhash.deduplicate(docs.limit(0)).collect() == []
+
+
+def stage_groups(rows):
+    """{doc_id: smallest doc_id of its group} by comparing all pairs of texts, as the pipeline's stage links them."""
+    least = simhash.lanes_agreeing(0.8)
+    each = [(d, slow_fingerprint(t, 5), np.frombuffer(simhash.signature(simhash.shingle_hashes(t, 5)), np.uint8)) for d, t in rows]
+    group = {d: {d} for d, _ in rows}
+    for i, (a, fa, sa) in enumerate(each):
+        for b, fb, sb in each[i + 1 :]:
+            if group[a] is not group[b] and (fa == fb or ((fa ^ fb).bit_count() <= 14 and (sa == sb).sum() >= least)):
+                group[a] |= group[b]
+                for d in group[b]:
+                    group[d] = group[a]
+    return {d: min(g) for d, g in group.items()}
+
+
+def shingles(text, words=5):
+    w = text.encode().lower().split()
+    return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(5)
+    for share in (0.3, 0.6, 0.8, 0.95):
+        off = []
+        for _ in range(60):
+            hashes = rng.integers(0, 2**64, 4000, np.uint64)
+            both = int(4000 * share)
+            a, b = hashes[: both + (4000 - both) // 2], np.concatenate([hashes[:both], hashes[both + (4000 - both) // 2 :]])
+            agree = (np.frombuffer(simhash.signature(a), np.uint8) == np.frombuffer(simhash.signature(b), np.uint8)).sum()
+            off.append(agree / simhash.LANES - (share * 255 + 1) / 256)
+        assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.06
+
+
+def test_stage_finds_edited_copies_and_nothing_else(spark):
+    """Copies with one word in 60 changed (similarity about 0.85) are found; texts that share half of theirs are not."""
+    import random
+
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "rt", "lo", "mi", "s")]
+    rows, near = [], 0
+    for k in range(60):
+        text = rng.choices(words, k=rng.randrange(120, 600))
+        rows.append((3 * k, " ".join(text)))
+        edited = [rng.choice(words) if j % 60 == 30 else w for j, w in enumerate(text)]
+        rows.append((3 * k + 1, " ".join(edited)))
+        rows.append((3 * k + 2, " ".join(text[: len(text) // 2] + rng.choices(words, k=len(text) - len(text) // 2))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    texts = dict(rows)
+    for k in range(60):
+        assert 3 * k in found and 3 * k + 2 in found
+        a, b = shingles(texts[3 * k]), shingles(texts[3 * k + 1])
+        near += (3 * k + 1 not in found) == (len(a & b) / len(a | b) >= 0.8)
+    assert near >= 54
+    groups = stage_groups(rows)
+    assert found == {d for d, g in groups.items() if d == g}
+
+
+def test_crowded_group_of_edited_copies(spark):
+    """Many copies of one text, each edited elsewhere: one group, of which one document stays."""
+    import random
+
+    rng = random.Random(4)
+    text = [f"word{rng.randrange(5000)}" for _ in range(400)]
+    rows = [(k, " ".join("other" if j == (7 * k) % 400 else w for j, w in enumerate(text))) for k in range(1500)]
+    assert [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]

@@ -12,7 +12,7 @@ from tessera.llm import decontamination, langid, packing
 from tests.llm.test_chat_and_packing import check_pieces
 from tests.llm.test_line_dedup import slow
 from tests.llm.test_media_and_models import slow_phrases, slow_scan
-from tests.llm.test_near_dedup import expected
+from tests.llm.test_near_dedup import stage_groups
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def test_stages_match_brute_force(spark, docs):
     assert rows_of(now) == (want := [(d, t) for d, t, n in kept if n])
 
     now = stage["simhash_near_dedup"](spark, now, SMALL)
-    first = {d for d, _, c in expected(want) if d == c}
+    first = {d for d, g in stage_groups(want).items() if d == g}
     assert now.columns == docs.columns
     assert rows_of(now) == (want := [(d, t) for d, t in want if d in first])
 
