@@ -200,7 +200,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, similarity: float | None =
     A link is at most radius bits, and, where a similarity is given, signatures that agree as sets of that similarity do.
     """
     n = distinct.count()
-    strips, least = max(STRIPS, -(-n // STRIP_ROWS)), lanes_agreeing(similarity or 0)
+    room = STRIP_ROWS if similarity is None else STRIP_ROWS // 8  # a signature takes sixteen times a fingerprint's room
+    strips, least = max(STRIPS, -(-n // room)), lanes_agreeing(similarity or 0)
 
     def run(group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy().view(np.uint64)
