@@ -2,12 +2,12 @@
 
 1. Lines are normalised (runs of anything but letters, marks and digits become a space; lower case); those of at least
    MIN_WORDS words count. A line's SimHash is over its words: counters of all 64 bits sit side by side in a few longs.
-2. Fingerprints within RADIUS = 3 bits agree in two of five blocks, whichever they are: ten keys of about 26 bits.
+2. Fingerprints within RADIUS = 3 bits agree in three of six blocks, whichever they are: 20 keys of about 32 bits.
 3. Lines that share a key are linked if their fingerprints differ in at most RADIUS bits and their edit similarity,
-   1 - distance / longer length, is at least SIMILARITY. No pairs within a group are listed: first each line of a bucket
-   meets the bucket's commonest and its first line, and what links is merged. Then only lines of a bucket that are in
-   different groups meet. So every link between different texts is found or implied, and many variants of one line cost
-   as many rows as there are variants.
+   1 - distance / longer length, is at least SIMILARITY. No pairs within a bucket are listed at first: each line meets
+   the first line of the bucket's first fingerprint, and what links is merged. Then only lines of a bucket that are in
+   different groups meet. So every link between different texts is found or implied, and many variants of one line
+   cost as many rows as there are variants.
 4. Each group keeps its first occurrence, by (doc_id, line number); all others go, with repeats of equal lines.
 
 Texts of candidate lines are fetched from the documents by position; those small tables of positions are broadcast only
@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, small, table
+from tessera.llm.common import cut, remove, small, table
 from tessera.llm.components import connected_components
 
 MIN_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: First bit and number of bits of each block; fingerprints RADIUS bits apart agree in at least AGREE of them.
+BLOCKS, AGREE = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)), 3
 
 
 def normalised(line: Column) -> Column:
@@ -38,20 +39,31 @@ def normalised(line: Column) -> Column:
 
 
 def simhash(hashes: Column, n: Column) -> Column:
-    """Bits that are set in over half of n hashes. Lanes of 8, 16 or 32 bits hold a counter each, as n needs."""
+    """Bits that are set in over half of n hashes, from counters()."""
+    return bits_over_half(counters(hashes, n), n)
 
-    def counters(ones: int, k: int) -> Column:
+
+def counters(hashes: Column, n: Column) -> Column:
+    """Counts of each bit over n hashes, many side by side in one long: lanes of 8, 16 or 32 bits, as n needs."""
+
+    def lane(width: int, k: int) -> Column:
+        ones = sum(1 << (width * j) for j in range(64 // width))
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones)))
 
     def lanes(width: int) -> Column:
-        ones = sum(1 << (width * k) for k in range(64 // width))
+        return F.array(*[lane(width, k) for k in range(width)])
+
+    return F.when(n < 1 << 7, lanes(8)).when(n < 1 << 15, lanes(16)).otherwise(lanes(32))
+
+
+def bits_over_half(counts: Column, n: Column) -> Column:
+    def lanes(width: int) -> Column:
         every_other = sum(1 << (2 * width * k) for k in range(32 // width))
         room = (F.lit((1 << (width - 1)) - 1) - F.floor(n / 2)).cast("long") * F.lit(every_other)  # what takes a counter over n / 2 to its lane's top bit
         out = F.lit(0).cast("long")
         for k in range(width):
-            count = counters(ones, k)
             for shift in (0, width):
-                half = F.shiftrightunsigned(count, shift).bitwiseAND(F.lit(every_other * ((1 << width) - 1)))
+                half = F.shiftrightunsigned(counts[k], shift).bitwiseAND(F.lit(every_other * ((1 << width) - 1)))
                 over = F.shiftrightunsigned(half + room, width - 1).bitwiseAND(F.lit(every_other))
                 out = out.bitwiseOR(F.shiftleft(over, k + shift))
         return out
@@ -65,111 +77,150 @@ def document_key() -> Column:
 
 
 def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, dk, line_no, k1, k2, fp, size) of each line that counts; (k1, k2) names its normalised text."""
+    """(doc_id, dk, line_no, k1, fp, size) of each line that counts; a hash and the SimHash, (k1, fp), name its normalised text."""
     each = docs.select("doc_id", document_key().alias("dk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     norm = each.select("doc_id", "dk", "line_no", normalised(F.col("line")).alias("norm"))
     words = norm.withColumn("words", F.split("norm", " ", -1)).where(F.size("words") >= min_words)
-    hashed = words.select("doc_id", "dk", "line_no", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), F.col("norm")).alias("k2"), F.length("norm").alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    return hashed.select("doc_id", "dk", "line_no", "k1", "k2", simhash(F.col("hashes"), F.size("hashes")).alias("fp"), "size")
+    hashed = words.select("doc_id", "dk", "line_no", F.xxhash64("norm").alias("k1"), F.length("norm").alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    # each step is a projection of its own, so that what the next one refers to often is computed once
+    counted = hashed.select("doc_id", "dk", "line_no", "k1", "size", F.size("hashes").alias("words"), counters(F.col("hashes"), F.size("hashes")).alias("counts"))
+    return counted.select("doc_id", "dk", "line_no", "k1", bits_over_half(F.col("counts"), F.col("words")).alias("fp"), "size")
 
 
 def block_keys(fp: Column) -> Column:
-    """The ten keys that a fingerprint is found by."""
+    """The keys that a fingerprint is found by, one for each choice of AGREE blocks."""
     parts = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in BLOCKS]
-    return F.array(*[F.lit(k << 26).bitwiseOR(F.shiftleft(parts[i], 13)).bitwiseOR(parts[j]) for k, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
+    keys = []
+    for number, chosen in enumerate(combinations(parts, AGREE)):
+        key = F.lit(number).cast("long")
+        for part in chosen:
+            key = F.shiftleft(key, 11).bitwiseOR(part)
+        keys.append(key)
+    return F.array(*keys)
 
 
-def _near(a: str, b: str, radius: int, similarity: float) -> Column:
-    """Fingerprints within the radius, and lengths that allow the similarity."""
-    bits = F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius
-    longer, shorter = F.greatest(f"{a}.size", f"{b}.size"), F.least(f"{a}.size", f"{b}.size")
-    return bits & (longer - shorter <= F.floor(longer * F.lit(1 - similarity) + 1e-9))
+def _in_first_bucket(a: str, b: str, bk: str) -> Column:
+    """Whether a shared bucket is the one of the first AGREE blocks in which two fingerprints agree."""
+    differ = [F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), at).bitwiseAND(F.lit((1 << n) - 1)) != 0 for at, n in BLOCKS]
+    number, out = F.shiftright(bk, 11 * AGREE), F.lit(False)
+    for k, chosen in enumerate(combinations(range(len(BLOCKS)), AGREE)):
+        this = number == k
+        for block in range(chosen[-1]):
+            if block not in chosen:
+                this = this & differ[block]
+        out = out | this
+    return out
 
 
-def _placed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs joined with wanted, rows of (doc_id, dk, ...): by broadcast if their count allows, else by shuffle."""
-    wanted = small(wanted).withColumnsRenamed({"doc_id": "w_id", "dk": "w_dk"})
-    return docs.withColumn("dk", document_key()).join(wanted, (F.col("dk") == F.col("w_dk")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left").drop("w_id", "w_dk", "dk")
+def _near(a: str, b: str, radius: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+
+
+def _lengths_allow(a: str, b: str, similarity: float) -> Column:
+    longer, shorter = F.greatest(a, b), F.least(a, b)
+    return longer - shorter <= F.floor(longer * F.lit(1 - similarity) + 1e-9)
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs (a, b) of lines whose edit similarity suffices."""
-    pairs = cut(pairs, "lines-pairs")
+    """Those pairs (a, b) of lines whose edit similarity suffices. Their texts come from the lines' first occurrences."""
+    pairs = cut(pairs.distinct(), "lines-pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = nodes.join(distinct.select(F.struct("k1", "k2").alias("node"), "first"), "node")
-    by_doc = cut(places.groupBy("first.doc_id", "first.dk").agg(F.collect_list(F.struct("first.line_no", "node")).alias("wanted")), "lines-places")
-    found = _placed(docs.select("doc_id", "text"), by_doc).where(F.col("wanted").isNotNull())
-    lines = found.select(F.split("text", "\n", -1).alias("lines"), F.explode("wanted").alias("w"))
-    texts = cut(lines.select(F.col("w.node").alias("node"), normalised(F.element_at("lines", F.col("w.line_no") + 1)).alias("norm")).dropDuplicates(["node"]), "lines-texts")
+    places = cut(nodes.join(distinct.select(F.struct("k1", "fp").alias("node"), "first.*"), "node"), "lines-places")
+    wanted = small(places).withColumnsRenamed({"doc_id": "w_id", "dk": "w_dk", "line_no": "w_no"})
+    each = docs.select("doc_id", document_key().alias("dk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    found = each.join(wanted, (F.col("dk") == F.col("w_dk")) & (F.col("line_no") == F.col("w_no")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    texts = cut(found.select("node", normalised(F.col("line")).alias("norm")).dropDuplicates(["node"]), "lines-texts")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    most = f"CAST(floor(greatest(length(ta), length(tb)) * {1 - similarity!r} + 1e-9) AS INT)"
-    return cut(both.where(F.expr(f"levenshtein(ta, tb, {most}) >= 0")).select("a", "b"), "lines-links")
+    # the distance costs length x bound, so smaller bounds, which most links meet, are tried first
+    within = lambda share: f"levenshtein(ta, tb, CAST(floor(greatest(length(ta), length(tb)) * {share!r} + 1e-9) AS INT)) >= 0"
+    most = 1 - similarity
+    test = f"CASE WHEN {within(most / 16)} THEN true WHEN {within(most / 6)} THEN true ELSE {within(most)} END"
+    links = cut(both.where(F.col("a") != F.col("b")).where(F.expr(test)).select("a", "b"), "lines-links")
+    for used in (texts, places):
+        remove(used)
+    return links
 
 
 def linked(docs: DataFrame, distinct: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of each distinct line that is linked to another. distinct: (k1, k2, fp, size, n, first), a table."""
-    prints = distinct.groupBy("fp").agg(F.count("*").alias("lines"))
-    keyed = prints.select("fp", "lines", F.explode(block_keys(F.col("fp"))).alias("bk"))
-    shared = keyed.withColumn("c", F.count("*").over(Window.partitionBy("bk"))).where("c > 1").select("bk", "fp")
-    same = prints.where("lines > 1").select(F.xxhash64("fp", F.lit("same")).alias("bk"), "fp")  # a bucket of its own
-    members = shared.unionByName(same).join(distinct.select("fp", F.struct("k1", "k2").alias("node"), "n", "size"), "fp")
-    members = cut(members.select("bk", "fp", "node", "n", "size"), "lines-members")
-
-    leaders = members.groupBy("bk").agg(F.max(F.struct("n", "node", "fp", "size")).alias("top"), F.min(F.struct("node", "fp", "size")).alias("low"))
-    met = _with_leaders(members, leaders)
-    stars = met.where((F.col("m.node") != F.col("l.node")) & _near("m", "l", radius, similarity))
-    pairs = stars.select(F.least("m.node", "l.node").alias("a"), F.greatest("m.node", "l.node").alias("b")).distinct()
+    """(node, component) of each distinct line that is linked to another. distinct: (k1, fp, size, n, first), a table."""
+    nodes = distinct.select("fp", F.struct("k1", "fp").alias("node"), "size")
+    prints = nodes.groupBy("fp").agg(F.count("*").alias("lines"), F.min("node.k1").alias("k1"))
+    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"))).alias("bk"))
+    bucket = Window.partitionBy("bk")
+    shared = keyed.select("bk", "fp", F.count("*").over(bucket).alias("c"), F.min("fp").over(bucket).alias("head")).where("c > 1")
+    shared = cut(shared.select("bk", "fp", "head"), "lines-shared")
+    several = cut(nodes.join(prints.where("lines > 1").select("fp", F.struct("k1", "fp").alias("first_node")), "fp"), "lines-several")
+
+    # each line meets the first line of the first fingerprint of its buckets, and the first line of its own fingerprint
+    heads = shared.where((F.col("fp") != F.col("head")) & _near("fp", "head", radius)).select("fp", "head").distinct()
+    first = prints.select(F.col("fp").alias("head"), F.struct("k1", "fp").alias("head_node"))
+    stars = heads.join(first, "head").join(nodes, "fp").select(*_ordered("node", "head_node"))
+    own = several.where(F.col("node") != F.col("first_node")).select(*_ordered("node", "first_node"))
+    pairs = cut(stars.unionByName(own).distinct(), "lines-met")
     links = verified(docs, distinct, pairs, similarity)
     groups = connected_components(links, "a", "b")
 
-    grouped = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    grouped = cut(grouped, "lines-grouped")
-    mixed = grouped.groupBy("bk").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bk")
-    left = cut(grouped.join(mixed, "bk", "left_semi"), "lines-mixed")
-    apart = left.alias("x").join(left.alias("y"), (F.col("x.bk") == F.col("y.bk")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y", radius, similarity))
-    more = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = verified(docs, distinct, more.join(pairs, ["a", "b"], "left_anti"), similarity)
-    return groups if more.isEmpty() else connected_components(links.unionByName(more), "a", "b")
-
-
-def _with_leaders(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Each member m of a bucket with its leaders l."""
-    both = F.array(F.struct("top.node", "top.fp", "top.size"), F.struct("low.node", "low.fp", "low.size"))
-    return members.join(leaders, "bk").select(F.struct("node", "fp", "size").alias("m"), F.explode(both).alias("l"))
+    # what is still apart in a bucket meets; what is together needn't. A fingerprint is together if all its lines are
+    placed = small(groups).withColumnRenamed("node", "g_node")
+    lines = nodes.join(placed, F.col("node") == F.col("g_node"), "left").select("fp", "node", "size", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
+    each = lines.groupBy("fp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("linked").alias("linked"))
+    grouped = cut(each.where("linked AND lo = hi").select(F.col("fp").alias("g_fp"), F.col("lo.k1").alias("g_k"), F.col("lo.fp").alias("g_w")), "lines-grouped")
+    held = shared.join(small(grouped), F.col("fp") == F.col("g_fp"), "left").select("bk", "fp", F.coalesce("g_k", F.lit(0)).alias("k"), F.coalesce("g_w", "fp").alias("w"))
+    held = held.withColumns({"least": F.min(F.struct("k", "w")).over(bucket), "most": F.max(F.struct("k", "w")).over(bucket)}).where("least <> most").select("bk", "fp", "k", "w")
+    apart = held.toDF("bk", "x", "xk", "xw").join(held.toDF("bk", "y", "yk", "yw"), "bk").where((F.col("x") < F.col("y")) & ((F.col("xw") != F.col("yw")) | (F.col("xk") != F.col("yk"))) & _near("x", "y", radius))
+    of = lambda side: lines.select(F.col("fp").alias(side), F.col("node").alias(f"{side}n"), F.col("size").alias(f"{side}s"), F.col("component").alias(f"{side}c"))
+    between = cut(apart.where(_in_first_bucket("x", "y", "bk")).select("x", "y"), "lines-between")  # each pair once
+    met = between.join(of("x"), "x").join(of("y"), "y").select("xn", "xs", "xc", "yn", "ys", "yc")
+    inside = several.select("fp").distinct().withColumnRenamed("fp", "x").join(of("x"), "x")
+    inside = inside.join(of("y"), F.col("x") == F.col("y")).where("xn < yn").select("xn", "xs", "xc", "yn", "ys", "yc")
+    candidates = met.unionByName(inside).where((F.col("xc") != F.col("yc")) & _lengths_allow("xs", "ys", similarity))
+    more = cut(candidates.select(*_ordered("xn", "yn")).distinct().join(pairs, ["a", "b"], "left_anti"), "lines-apart")
+    remove(shared)
+    if more.isEmpty():
+        return groups
+    return connected_components(links.unionByName(verified(docs, distinct, more, similarity)), "a", "b")
 
 
 def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, dk, dropped): the numbers of the lines that each document loses."""
+    docs = docs.select("doc_id", "text")
     lines = cut(lines_of(docs, min_words), "lines-all")
     place = F.struct("doc_id", "line_no", "dk")
-    distinct = cut(lines.groupBy("k1", "k2").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.count("*").alias("n"), F.min(place).alias("first")), "lines-distinct")
+    distinct = cut(lines.groupBy("k1", "fp").agg(F.min("size").alias("size"), F.count("*").alias("n"), F.min(place).alias("first")), "lines-distinct")
     groups = linked(docs, distinct, radius, similarity)
-    named = distinct.join(groups.select("node.k1", "node.k2", "component"), ["k1", "k2"])
+    named = distinct.join(groups.select("node.k1", "node.fp", "component"), ["k1", "fp"])
     firsts = named.groupBy("component").agg(F.min("first").alias("keep"))
-    fuzzy = named.join(firsts, "component").select("k1", "k2", "keep")
-    exact = distinct.where("n > 1").join(groups.select("node.k1", "node.k2"), ["k1", "k2"], "left_anti").select("k1", "k2", F.col("first").alias("keep"))
+    fuzzy = named.join(firsts, "component").select("k1", "fp", "keep")
+    exact = distinct.where("n > 1").join(groups.select("node.k1", "node.fp"), ["k1", "fp"], "left_anti").select("k1", "fp", F.col("first").alias("keep"))
     keeps = cut(fuzzy.unionByName(exact), "lines-keeps")
-    gone = lines.join(keeps, ["k1", "k2"]).where(~place.eqNullSafe(F.col("keep")))
+    gone = lines.join(small(keeps), ["k1", "fp"]).where(~place.eqNullSafe(F.col("keep")))
     return cut(gone.groupBy("doc_id", "dk").agg(F.collect_set("line_no").alias("dropped")), "lines-dropped")
 
 
 def with_kept_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with text reduced to the lines that stay, and n_lines and n_dropped."""
-    lines, gone = F.split("text", "\n", -1), F.coalesce("dropped", F.array().cast("array<int>"))
-    found = _placed(docs, dropped_lines(docs, min_words, radius, similarity))
-    rest = F.array_join(F.filter(lines, lambda x, k: ~F.exists(gone, lambda g: g == k)), "\n")
-    kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(rest)
-    columns = [kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return found.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))
+    gone = small(dropped_lines(docs, min_words, radius, similarity)).toDF("__id", "__dk", "__gone")
+    same = (document_key() == F.col("__dk")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    found = docs.join(gone, same, "left")
+    lines, lost = F.split("text", "\n", -1), F.col("__gone").isNotNull()
+    rest = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("__gone"), k)), "\n")
+    columns = [F.when(lost, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return found.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(lost, F.size("__gone")).otherwise(0).cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without repeated lines; n_chars, if there, follows the text. Documents that lose all lines go."""
-    found = with_kept_lines(docs, min_words, radius, similarity).where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    own = [c for c in ("n_lines", "n_dropped") if c in docs.columns]  # the documents' columns of those names come back
+    held = docs.withColumnsRenamed({c: f"__{c}" for c in own})
+    found = with_kept_lines(held, min_words, radius, similarity).where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.drop("n_lines", "n_dropped").withColumnsRenamed({f"__{c}": c for c in own}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
