@@ -175,3 +175,21 @@ def test_crowded_group_of_edited_copies(spark):
     text = [f"word{rng.randrange(5000)}" for _ in range(400)]
     rows = [(k, " ".join("other" if j == (7 * k) % 400 else w for j, w in enumerate(text))) for k in range(1500)]
     assert [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_stage_links_what_exact_similarity_links(spark):
+    """Pairs at similarities around 0.8: what exact Jaccard links is linked, and what is under 0.8 stays."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(150):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(150, 400))]
+        edited = list(text)
+        for at in rng.sample(range(0, len(text) - 9, 10), round(len(text) * (0.10 + 0.01 * rng.random()) / 4.6)):
+            edited[at + 4] = "edited"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(edited))]
+    texts, found = dict(rows), {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    similar = [len(a & b) / len(a | b) for k in range(150) for a, b in [(shingles(texts[2 * k]), shingles(texts[2 * k + 1]))]]
+    assert sum(0.8 <= s < 0.83 for s in similar) > 20 and sum(0.76 < s < 0.8 for s in similar) > 20
+    assert found == {2 * k for k in range(150)} | {2 * k + 1 for k in range(150) if similar[k] < 0.8}
