@@ -1,7 +1,8 @@
 """Fuzzy line dedup in DataFrame operations only: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-1. Lines are normalised (runs of anything but letters, marks and digits become a space; lower case); those of at least
-   MIN_WORDS words count. A line's SimHash is over its words: counters of all 64 bits sit side by side in a few longs.
+1. Lines are normalised (runs of anything but letters, marks and digits become a space; lower case); all that aren't empty
+   then count. A line's SimHash is over its words, or, if they are fewer than MIN_WORDS, as in short lines and in scripts
+   without spaces, over its runs of GRAM characters: counters of all 64 bits sit side by side in a few longs.
 2. Fingerprints within RADIUS = 3 bits agree in three of six blocks, whichever they are: 20 keys of about 32 bits.
 3. Lines that share a key are linked if their fingerprints differ in at most RADIUS bits and their edit similarity,
    1 - distance / longer length, is at least SIMILARITY. No pairs within a bucket are listed at first: each line meets
@@ -13,7 +14,7 @@
 Texts of candidate lines are fetched from the documents by position; those small tables of positions are broadcast only
 if they have few rows, counted first, and shuffled otherwise.
 
-Defined cases: null text has no lines and stays null; lines under MIN_WORDS words are always kept; a document that
+Defined cases: null text has no lines and stays null; lines without a letter, mark or digit are always kept; a document that
 loses every line goes, others keep their order of lines; equal rows (same doc_id and text) keep the same lines; null
 doc_ids come first; columns other than text and n_chars are kept as they are.
 """
@@ -30,6 +31,7 @@ from tessera.llm.common import cut, remove, small, table
 from tessera.llm.components import connected_components
 
 MIN_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
+GRAM = 3
 #: First bit and number of bits of each block; fingerprints RADIUS bits apart agree in at least AGREE of them.
 BLOCKS, AGREE = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)), 3
 
@@ -80,7 +82,9 @@ def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, dk, line_no, k1, fp, size) of each line that counts; a hash and the SimHash, (k1, fp), name its normalised text."""
     each = docs.select("doc_id", document_key().alias("dk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     norm = each.select("doc_id", "dk", "line_no", normalised(F.col("line")).alias("norm"))
-    words = norm.withColumn("words", F.split("norm", " ", -1)).where(F.size("words") >= min_words)
+    split = norm.where(F.length("norm") > 0).withColumn("words", F.split("norm", " ", -1))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - GRAM + 1, F.lit(1))), lambda k: F.substring(F.col("norm"), k, GRAM))
+    words = split.withColumn("words", F.when(F.size("words") >= min_words, F.col("words")).otherwise(grams))
     hashed = words.select("doc_id", "dk", "line_no", F.xxhash64("norm").alias("k1"), F.length("norm").alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     # each step is a projection of its own, so that what the next one refers to often is computed once
     counted = hashed.select("doc_id", "dk", "line_no", "k1", "size", F.size("hashes").alias("words"), counters(F.col("hashes"), F.size("hashes")).alias("counts"))

@@ -121,3 +121,10 @@ def test_main_path_has_no_python(spark):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     assert not re.search("Python|Pandas|Arrow", linededup.lines_of(docs)._jdf.queryExecution().explainString(mode))
     assert not re.search("Python|Pandas|Arrow", linededup.with_kept_lines(docs)._jdf.queryExecution().explainString(mode))
+
+
+def test_short_lines_and_scripts_without_spaces_take_part(spark):
+    chinese = "今天天气很好我们一起去公园散步然后回家吃饭看书睡觉明天再去学校上课"
+    rows = [(1, "read more\nfirst own text of this page\n\n..."), (2, f"Read more!\n{chinese}\n\n..."), (3, f"{chinese}\nmenu\nmenu"), (4, "อ่านเพิ่มเติม"), (5, "อ่านเพิ่มเติม\nx")]
+    found = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: rows[0][1], 2: f"{chinese}\n\n...", 3: "menu", 4: rows[3][1], 5: "x"}
