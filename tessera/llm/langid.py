@@ -11,8 +11,9 @@ STRETCH symbols: a phrase also ends where a stretch does, for every language ali
 
 Symbols are letters, lower-cased; each run of anything else is one gap.
 
-The bound on training: for each language, SAMPLE_ROWS rows that come first in hash order of their doc_id, and of those the
-first TRAIN_CHARS symbols. Nothing else is sampled: every text is predicted whole.
+The bound on training: for each language, SAMPLE_ROWS different texts that come first in hash order of their doc_id, and
+TRAIN_CHARS symbols, shared evenly: a text teaches from its begin up to its share, and what short texts leave goes to the
+longer ones. Nothing else is sampled: every text is predicted whole.
 
 Defined cases: null text, or text without a letter, is und with score 0; rows with null text or null language teach
 nothing; without any labelled text all is und; equal rows get equal results; one language alone wins with score 1.
@@ -22,6 +23,7 @@ Columns besides doc_id, text and lang are ignored, or kept where `keep` names th
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,19 +169,33 @@ class Languages:
         return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered)], [s if ok else 0.0 for s, ok in zip(score.tolist(), lettered)]
 
 
-def training_text(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, list[str]]]:
-    """For each language at most sample_rows labelled texts, those first in hash order of doc_id. docs: rows to learn from.
+def even_shares(texts: list[str], budget: int) -> list[str]:
+    """Begins of texts whose symbols, with a gap after each, are within the budget; what a text leaves goes to longer ones."""
+    sizes = [len(symbols(t)) + 1 for t in texts]
+    out = list(texts)
+    for left, k in zip(range(len(texts), 0, -1), sorted(range(len(texts)), key=sizes.__getitem__)):
+        room = budget // left
+        if sizes[k] > room:
+            out[k] = texts[k][: bisect_right(range(len(texts[k]) + 1), room - 1, key=lambda n: len(symbols(texts[k][:n]))) - 1] if room else ""  # noqa: B023
+        budget -= min(sizes[k], room)
+    return out
+
+
+def training_text(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, train_chars: int = TRAIN_CHARS) -> list[tuple[str, list[str]]]:
+    """For each language at most sample_rows different labelled texts, those first in hash order of doc_id, cut to even shares of train_chars.
 
     Ids are ranked without their texts, with a limit a language before the shuffle; the few chosen then fetch theirs.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th"))
+    first = known.groupBy("lang", "th").agg(F.min(F.struct("h", "doc_id")).alias("first"))
+    labelled = first.select("lang", "first.h", "first.doc_id")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = labelled.withColumn("rank", rank).where(F.col("rank") <= sample_rows).select("doc_id", "lang").distinct()
     texts: dict[str, set] = {}
     ids = [r.doc_id for r in chosen.collect()]
     for r in docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").collect() if ids else []:
         texts.setdefault(r.lang, set()).add((r.doc_id, r.text))
-    return [(lang, [t for _, t in sorted(rows)][: 4 * sample_rows]) for lang, rows in texts.items()]
+    return [(lang, even_shares(list(dict.fromkeys(t for _, t in sorted(rows)))[: 4 * sample_rows], train_chars)) for lang, rows in texts.items()]
 
 
 def teaching_row() -> Column:

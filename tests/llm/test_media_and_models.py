@@ -241,3 +241,14 @@ def test_sites_shrink_toward_their_parents(spark):
     got = {r.doc_id: r.good_score for r in quality.with_sites(each).collect()}
     assert got[200] > 0.4 and got[500] < 0.5 and got[500] < got[600] < got[200] + 0.5
     assert abs(got[600] - 0.5) < 0.05
+
+
+def test_all_chosen_texts_teach(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    long, short = " ".join(word() for _ in range(20_000)), [" ".join(word() for _ in range(60)) for _ in range(30)]
+    rows = [(0, long, "xx"), *[(k, "the same text again", "xx") for k in range(1, 200)], *[(200 + k, t, "xx") for k, t in enumerate(short)]]
+    ((_, parts),) = langid.training_text(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(parts) == 32 and set(short) < set(parts) and parts.count("the same text again") == 1
+    assert langid.TRAIN_CHARS - 5 <= sum(len(langid.symbols(t)) + 1 for t in parts) <= langid.TRAIN_CHARS
+    assert [len(langid.symbols(t)) for t in langid.even_shares(["ab", "c" * 99, "d" * 99], 23)] == [2, 9, 9]
