@@ -1,12 +1,14 @@
 """Media columns: TIFF files in a binary column, one row per page.
 
 Reading walks the chain of image directories, decodes strips or tiles (stored, PackBits, LZW or deflate), undoes the
-horizontal predictor and returns each page's samples in row order. Both byte orders, 8- and 16-bit unsigned samples and
-any number of chunky samples a pixel are read; what is outside this raises ValueError, or gives a row with an error.
+horizontal predictor and returns each page's samples in row order. Both byte orders, 1-, 2-, 4-, 8- and 16-bit unsigned
+samples and any number of samples a pixel, chunky or planar, are read; samples of under 8 bits become a byte each, with
+the value that is stored. What is outside this (other widths, floating point, other compressions, the horizontal predictor
+under 8 bits, reversed bit order) raises ValueError, or gives a row with an error.
 Writing makes greyscale pages with the same compressions.
 
-Defined cases: a null file has no pages; a file that can't be read gives one row with page -1 and the reason; equal rows
-each give their pages; key columns are kept, whatever their names, save those named like the results.
+Defined cases: a null file has no pages; a page that can't be read gives a row with its number and the reason, and the next
+one follows; where the chain of directories breaks, a row with page -1 and the reason is the file's last; equal rows each give their pages; key columns are kept, whatever their names, save those named like the results.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from tessera.llm.common import table
 STORED, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 16: "Q"}
 PAD, PAGE_ROWS = 576, 256
+_BAD = (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError, ZeroDivisionError)
 
 
 @dataclass
@@ -204,26 +207,40 @@ def _directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 def read_tiff(raw: bytes) -> Iterator[Page]:
     for order, tags in _directories(raw):
-        one = lambda tag, default=None: tags.get(tag, (default,))[0]
-        width, height, samples, compression, predictor = one(256), one(257), one(277, 1), one(259, 1), one(317, 1)
-        bits = set(tags.get(258, (1,)))
-        if bits not in ({8}, {16}) or one(284, 1) != 1 or predictor not in (1, 2):
-            raise ValueError("only chunky 8- or 16-bit samples with no or the horizontal predictor are read")
-        kind = np.dtype("u1" if bits == {8} else order + "u2")
-        tiled = 322 in tags
-        across, down = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
-        places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-        image = np.empty((height, width, samples), kind)
-        corners = [(y, x) for y in range(0, height, down) for x in range(0, width, across)]
-        if len(places) != len(corners) or len(sizes) != len(corners):
-            raise ValueError("strips or tiles are missing")
-        for (y, x), place, n in zip(corners, places, sizes):
-            rows = down if tiled else min(down, height - y)
-            part = np.frombuffer(_unpack(raw[place : place + n], compression, rows * across * samples * kind.itemsize), kind).reshape(rows, across, samples)
-            if predictor == 2:
-                part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-            image[y : y + rows, x : x + across] = part[: height - y, : width - x]
-        yield Page(width, height, bits.pop(), samples, compression, predictor, tiled, image.tobytes())
+        yield _page(raw, order, tags)
+
+
+def _samples(part: bytes, rows: int, across: int, bits: int, kind: np.dtype) -> np.ndarray:
+    """rows of so many samples each; rows of samples under 8 bits are filled up to a byte."""
+    if bits >= 8:
+        return np.frombuffer(part, kind).reshape(rows, across)
+    single = np.unpackbits(np.frombuffer(part, np.uint8).reshape(rows, -1), axis=1)[:, : across * bits].reshape(rows, across, bits)
+    return single @ (1 << np.arange(bits)[::-1]).astype(np.uint8)
+
+
+def _page(raw: bytes, order: str, tags: dict[int, tuple]) -> Page:
+    one = lambda tag, default=None: tags.get(tag, (default,))[0]
+    width, height, samples, compression, predictor = one(256), one(257), one(277, 1), one(259, 1), one(317, 1)
+    widths, planes = set(tags.get(258, (1,))), samples if one(284, 1) == 2 else 1
+    bits = widths.pop()
+    if widths or bits not in (1, 2, 4, 8, 16) or one(339, 1) != 1 or predictor not in ((1, 2) if bits >= 8 else (1,)) or one(266, 1) != 1:
+        raise ValueError("only unsigned samples of 1, 2, 4, 8 or 16 bits with no or, from 8 bits, the horizontal predictor are read")
+    kind, inside = np.dtype(order + "u2" if bits == 16 else "u1"), samples // planes
+    tiled = 322 in tags
+    across, down = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
+    places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    image = np.empty((height, width, samples), kind)
+    corners = [(plane, y, x) for plane in range(planes) for y in range(0, height, down) for x in range(0, width, across)]
+    if len(places) != len(corners) or len(sizes) != len(corners):
+        raise ValueError("strips or tiles are missing")
+    for (plane, y, x), place, n in zip(corners, places, sizes):
+        rows = down if tiled else min(down, height - y)
+        part = _unpack(raw[place : place + n], compression, rows * -(-across * inside * bits // 8))
+        part = _samples(part, rows, across * inside, bits, kind).reshape(rows, across, inside)
+        if predictor == 2:
+            part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
+        image[y : y + rows, x : x + across, plane : plane + inside] = part[: height - y, : width - x]
+    return Page(width, height, bits, samples, compression, predictor, tiled, image.tobytes())
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows: int = 32, tile: int | None = None) -> bytes:
@@ -274,11 +291,16 @@ def tiff_pages(files: DataFrame, content: str, keys: list[str]) -> DataFrame:
     kinds = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
 
     def rows(raw: bytes) -> Iterator[tuple]:
+        failed = lambda k, e: (k, *[None] * 8, f"{type(e).__name__}: {e}")
         try:
-            for k, p in enumerate(read_tiff(raw)):
-                yield k, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError) as e:
-            yield -1, *[None] * 8, f"{type(e).__name__}: {e}"
+            for k, (order, tags) in enumerate(_directories(raw)):
+                try:
+                    p = _page(raw, order, tags)
+                    yield k, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None
+                except _BAD as e:
+                    yield failed(k, e)
+        except _BAD as e:
+            yield failed(-1, e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -252,3 +252,38 @@ def test_all_chosen_texts_teach(spark):
     assert len(parts) == 32 and set(short) < set(parts) and parts.count("the same text again") == 1
     assert langid.TRAIN_CHARS - 5 <= sum(len(langid.symbols(t)) + 1 for t in parts) <= langid.TRAIN_CHARS
     assert [len(langid.symbols(t)) for t in langid.even_shares(["ab", "c" * 99, "d" * 99], 23)] == [2, 9, 9]
+
+
+def plain_tiff(pages):
+    """(bits, samples, planar, predictor, width, height, strips) each, stored or PackBits, little-endian."""
+    out, link = bytearray(b"II" + struct.pack("<HI", 42, 0)), 4
+    for bits, samples, planar, predictor, width, height, compression, strips in pages:
+        places = []
+        for part in strips:
+            places.append(len(out))
+            out += part
+        lists = len(out)
+        out += struct.pack(f"<{2 * len(strips)}I", *places, *map(len, strips)) + struct.pack(f"<{samples}H", *[bits] * samples)
+        refer = lambda k: lists + 4 * k * len(strips) if len(strips) > 1 else (places, [len(p) for p in strips])[k][0]  # noqa: B023, E731
+        widths = lists + 8 * len(strips) if samples > 2 else int.from_bytes(struct.pack("<2H", bits, bits), "little")
+        tags = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, samples, widths), (259, 3, 1, compression), (273, 4, len(strips), refer(0)), (277, 3, 1, samples), (278, 4, 1, height), (279, 4, len(strips), refer(1)), (284, 3, 1, planar), (317, 3, 1, predictor)]
+        out[link : link + 4] = struct.pack("<I", len(out))
+        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
+        link = len(out)
+        out += struct.pack("<I", 0)
+    return bytes(out)
+
+
+def test_narrow_and_planar_pages_and_pages_after_a_bad_one(spark):
+    raw = plain_tiff([
+        (1, 1, 1, 1, 10, 2, tiff.PACKBITS, [tiff.packbits_encode(bytes([0b10110000, 0b01000000, 0b00000001, 0b11000000]))]),
+        (32, 1, 1, 3, 1, 1, tiff.STORED, [b"\0\0\0\0"]),
+        (4, 1, 1, 1, 3, 1, tiff.STORED, [bytes([0x5A, 0xC0])]),
+        (2, 1, 1, 1, 5, 1, tiff.STORED, [bytes([0b00011011, 0b10000000])]),
+        (8, 3, 2, 1, 2, 1, tiff.STORED, [b"\1\2", b"\3\4", b"\5\6"]),
+    ])
+    found = tiff.tiff_pages(spark.createDataFrame([(1, raw)], "id long, content binary"), "content", ["id"]).orderBy("page").collect()
+    assert [r.page for r in found] == [0, 1, 2, 3, 4] and [r.error is None for r in found] == [True, False, True, True, True]
+    assert [r.bits for r in found] == [1, None, 4, 2, 8]
+    assert list(found[0].pixels) == [1, 0, 1, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1, 1]
+    assert list(found[2].pixels) == [5, 10, 12] and list(found[3].pixels) == [0, 1, 2, 3, 2] and list(found[4].pixels) == [1, 3, 5, 2, 4, 6]
