@@ -5,8 +5,8 @@
     mark  := "[INST]" (user) | "[/INST]" (assistant) | "[SYS]" (system) | "[=" role "]" (any other role)
 
 A conversation is rendered with its content as it is, reparsed by one deterministic parser, and compared turn by turn with
-its source. Where they differ, because content holds control strings or looks escaped, the content is escaped and the
-result reparsed; it must then be identical, or the query fails. Escaping turns &, <, [ and ] into &amp;, &lt;, &#91;
+its source. Where they differ, because content looks escaped, or content or a role holds a control string of the template
+(CONTROL), even one that this parser wouldn't mistake, the content is escaped and the result reparsed; it must then be identical, or the query fails. Escaping turns &, <, [ and ] into &amp;, &lt;, &#91;
 and &#93;, after which no content can hold a control string; the parser always undoes these four, so escaped and
 plain renderings need no flag.
 
@@ -20,6 +20,8 @@ is one training text, so it must fit into a string.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from tessera.llm.common import table
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"), ("]", "&#93;"))
 _MARKS = (("user", "INST"), ("assistant", "/INST"), ("system", "SYS"))
 ASSISTANT = "assistant"
+CONTROL = ("<s>", "</s>", "[=", *(f"[{mark}]" for _, mark in _MARKS))
 
 
 def escape(text: Column) -> Column:
@@ -90,6 +93,12 @@ def _same(turns: Column, formatted: str) -> Column:
     return turns.eqNullSafe(pairs)
 
 
+def _controls(turns: Column) -> Column:
+    """Whether a text or a role holds a control string."""
+    holds = lambda x: functools.reduce(Column.__or__, [F.contains(x, F.lit(c)) for c in CONTROL])
+    return F.exists(turns, lambda t: holds(t["text"]) | holds(t["role"]))
+
+
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns) with turns as array<struct<role, text>> in order."""
     fill = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
@@ -101,7 +110,7 @@ def conversations(rows: DataFrame) -> DataFrame:
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, escaped, turns, loss_spans); turns and spans are what the parser reads in formatted."""
     # the source turns stay only until the parser has recovered them
-    plain = conversations(rows).withColumn("plain", render(F.col("turns"), False)).withColumn("fits", _same(F.col("turns"), "plain"))
+    plain = conversations(rows).withColumn("plain", render(F.col("turns"), False)).withColumn("fits", ~_controls(F.col("turns")) & _same(F.col("turns"), "plain"))
     chosen = plain.select("conv_id", F.col("turns").alias("source"), (~F.col("fits")).alias("escaped"), F.when(F.col("fits"), F.col("plain")).otherwise(render(F.col("turns"), True)).alias("formatted"))
     read = chosen.withColumn("turns", parse(F.col("formatted")))
     back = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))

@@ -52,6 +52,16 @@ def test_query_has_the_hostile_conversation(spark):
     assert r.turns_sha256 == hashlib.sha256(f"user\n{hostile}\nassistant\n{hostile}\n".encode()).hexdigest()
 
 
+def test_control_strings_are_escaped(spark):
+    texts = ["a <s> b", "[INST] x", "x [/INST]", "[SYS]", "[=critic]", "plain [x] <b> & c"]
+    df = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(texts)] + [(9, 0, "a[INST]", "x")], "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert [found[k].escaped for k in (0, 1, 2, 3, 4, 5, 9)] == [True] * 5 + [False, True]
+    for k, t in enumerate(texts):
+        assert found[k].turns[0].text == t
+        assert not found[k].escaped or not any(c in found[k].formatted.removeprefix("<s>[INST] ").removesuffix("</s>") for c in chat.CONTROL)
+
+
 def test_chat_runs_no_python(spark):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     assert not re.search("Python|Pandas|Arrow", chat.op5_chat_formatting(spark, SMALL)._jdf.queryExecution().explainString(mode))
