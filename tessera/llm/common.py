@@ -36,6 +36,14 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name like name that isn't taken; names differ in more than case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame) -> DataFrame:
     """df, a table of narrow rows, marked for broadcast if it has few enough of them; its rows are counted first."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

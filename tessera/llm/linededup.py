@@ -1,76 +1,58 @@
 """Fuzzy line dedup in DataFrame operations only: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 1. Lines are normalised (runs of anything but letters, marks and digits become a space; lower case); all that aren't empty
-   then count. A line's SimHash is over its words, or, if they are fewer than MIN_WORDS, as in short lines and in scripts
-   without spaces, over its runs of GRAM characters: counters of all 64 bits sit side by side in a few longs.
-2. Fingerprints within RADIUS = 3 bits agree in three of six blocks, whichever they are: 20 keys of about 32 bits.
-3. Lines that share a key are linked if their fingerprints differ in at most RADIUS bits and their edit similarity,
-   1 - distance / longer length, is at least SIMILARITY. No pairs within a bucket are listed at first: each line meets
-   the first line of the bucket's first fingerprint, and what links is merged. Then only lines of a bucket that are in
-   different groups meet. So every link between different texts is found or implied, and many variants of one line
-   cost as many rows as there are variants.
-4. Each group keeps its first occurrence, by (doc_id, line number); all others go, with repeats of equal lines.
-
-Texts of candidate lines are fetched from the documents by position; those small tables of positions are broadcast only
-if they have few rows, counted first, and shuffled otherwise.
+   then count. Equal lines are merged first, so that each is fingerprinted once.
+2. A line's SimHash has BLOCKS blocks of BITS bits, and each word votes only in the block that its hash names. So a changed
+   word disturbs the block it left and the one it came to, and no other, however long the line: lines a few words apart
+   agree on whole blocks, where bits of an ordinary SimHash would flip all over. Words count once a line. Lines of under
+   GRAM_CHARS characters or under five different words, as in short lines and in scripts without spaces, (also) have a SimHash
+   over their runs of GRAM characters.
+3. Lines that agree on a window of adjacent blocks meet. Windows hold about five words: the longer the line, the fewer
+   blocks (TIERS). A line is in each tier that a line of 0.8 to 1.25 times its words is in, so similar lines share one.
+4. Lines that meet are linked if their fingerprints differ in at most RADIUS bits and their edit similarity,
+   1 - distance / longer length, is at least SIMILARITY. At first each line meets one line of each of its buckets, and
+   what links is merged. Then only lines of a bucket that are in different groups meet. So every link between lines that
+   share a window is found or implied, and many variants of one line cost as many rows as there are variants.
+5. Each group keeps its first occurrence, by (doc_id, line number); all others go, with repeats of equal lines.
+
+The counters of a block's bits sit side by side in longs, BLOCKS lanes in each, for lines of at most MOST different words; for
+longer ones each block is counted by itself. Lines are named by 64-bit hashes of their text. Texts of candidate lines are
+fetched from the documents by position; tables of positions are broadcast only if they have few rows, counted first.
 
 Defined cases: null text has no lines and stays null; lines without a letter, mark or digit are always kept; a document that
 loses every line goes, others keep their order of lines; equal rows (same doc_id and text) keep the same lines; null
-doc_ids come first; columns other than text and n_chars are kept as they are.
+doc_ids come first; an empty table gives an empty table; columns other than text and n_chars are kept as they are,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, remove, small, table
+from tessera.llm.common import cut, free_name, remove, small, table
 from tessera.llm.components import connected_components
 
-MIN_WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
-GRAM = 3
-#: First bit and number of bits of each block; fingerprints RADIUS bits apart agree in at least AGREE of them.
-BLOCKS, AGREE = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)), 3
+SIMILARITY, RADIUS, LENGTHS = 0.8, 56, 0.7
+#: Lines of fewer words are also compared by characters.
+FEW_WORDS = 10
+BLOCKS, BITS, LANE = 8, 28, 7
+GRAM, GRAM_CHARS = 3, 40
+#: Different words from (with those 0.8 times as many) and below, and the blocks in a window.
+TIERS, GRAM_WINDOW = ((5, 10, 4), (10, 20, 3), (20, 50, 2), (50, 1 << 31, 1)), 2
+MOST = (1 << LANE) - 1
+_ONES = sum(1 << (LANE * c) for c in range(BLOCKS))
+_QUARTERS = [f"q{k}" for k in range(BITS // LANE)]
+_PLACE = ["doc_id", "dk", "line_no"]
+#: Anything but letters, marks and digits; ASCII is spelt out, as it is tested fastest.
+_GAP = r"[\x00-/:-@\[-`{-\x7F[\x{80}-\x{10FFFF}&&[^\p{L}\p{M}\p{N}]]]+"
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(line, r"[^\p{L}\p{M}\p{N}]+", " ")))
-
-
-def simhash(hashes: Column, n: Column) -> Column:
-    """Bits that are set in over half of n hashes, from counters()."""
-    return bits_over_half(counters(hashes, n), n)
-
-
-def counters(hashes: Column, n: Column) -> Column:
-    """Counts of each bit over n hashes, many side by side in one long: lanes of 8, 16 or 32 bits, as n needs."""
-
-    def lane(width: int, k: int) -> Column:
-        ones = sum(1 << (width * j) for j in range(64 // width))
-        return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones)))
-
-    def lanes(width: int) -> Column:
-        return F.array(*[lane(width, k) for k in range(width)])
-
-    return F.when(n < 1 << 7, lanes(8)).when(n < 1 << 15, lanes(16)).otherwise(lanes(32))
-
-
-def bits_over_half(counts: Column, n: Column) -> Column:
-    def lanes(width: int) -> Column:
-        every_other = sum(1 << (2 * width * k) for k in range(32 // width))
-        room = (F.lit((1 << (width - 1)) - 1) - F.floor(n / 2)).cast("long") * F.lit(every_other)  # what takes a counter over n / 2 to its lane's top bit
-        out = F.lit(0).cast("long")
-        for k in range(width):
-            for shift in (0, width):
-                half = F.shiftrightunsigned(counts[k], shift).bitwiseAND(F.lit(every_other * ((1 << width) - 1)))
-                over = F.shiftrightunsigned(half + room, width - 1).bitwiseAND(F.lit(every_other))
-                out = out.bitwiseOR(F.shiftleft(over, k + shift))
-        return out
-
-    return F.when(n < 1 << 7, lanes(8)).when(n < 1 << 15, lanes(16)).otherwise(lanes(32))
+    return F.trim(F.lower(F.regexp_replace(line, _GAP, " ")))
 
 
 def document_key() -> Column:
@@ -78,153 +60,168 @@ def document_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def lines_of(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, dk, line_no, k1, fp, size) of each line that counts; a hash and the SimHash, (k1, fp), name its normalised text."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, dk, line_no, line) of each line that isn't empty."""
     each = docs.select("doc_id", document_key().alias("dk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    norm = each.select("doc_id", "dk", "line_no", normalised(F.col("line")).alias("norm"))
-    split = norm.where(F.length("norm") > 0).withColumn("words", F.split("norm", " ", -1))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - GRAM + 1, F.lit(1))), lambda k: F.substring(F.col("norm"), k, GRAM))
-    words = split.withColumn("words", F.when(F.size("words") >= min_words, F.col("words")).otherwise(grams))
-    hashed = words.select("doc_id", "dk", "line_no", F.xxhash64("norm").alias("k1"), F.length("norm").alias("size"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    # each step is a projection of its own, so that what the next one refers to often is computed once
-    counted = hashed.select("doc_id", "dk", "line_no", "k1", "size", F.size("hashes").alias("words"), counters(F.col("hashes"), F.size("hashes")).alias("counts"))
-    return counted.select("doc_id", "dk", "line_no", "k1", bits_over_half(F.col("counts"), F.col("words")).alias("fp"), "size")
-
-
-def block_keys(fp: Column) -> Column:
-    """The keys that a fingerprint is found by, one for each choice of AGREE blocks."""
-    parts = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << n) - 1)) for at, n in BLOCKS]
-    keys = []
-    for number, chosen in enumerate(combinations(parts, AGREE)):
-        key = F.lit(number).cast("long")
-        for part in chosen:
-            key = F.shiftleft(key, 11).bitwiseOR(part)
-        keys.append(key)
-    return F.array(*keys)
-
-
-def _in_first_bucket(a: str, b: str, bk: str) -> Column:
-    """Whether a shared bucket is the one of the first AGREE blocks in which two fingerprints agree."""
-    differ = [F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), at).bitwiseAND(F.lit((1 << n) - 1)) != 0 for at, n in BLOCKS]
-    number, out = F.shiftright(bk, 11 * AGREE), F.lit(False)
-    for k, chosen in enumerate(combinations(range(len(BLOCKS)), AGREE)):
-        this = number == k
-        for block in range(chosen[-1]):
-            if block not in chosen:
-                this = this & differ[block]
-        out = out | this
-    return out
-
-
-def _near(a: str, b: str, radius: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-
-
-def _lengths_allow(a: str, b: str, similarity: float) -> Column:
-    longer, shorter = F.greatest(a, b), F.least(a, b)
-    return longer - shorter <= F.floor(longer * F.lit(1 - similarity) + 1e-9)
-
-
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those pairs (a, b) of lines whose edit similarity suffices. Their texts come from the lines' first occurrences."""
-    pairs = cut(pairs.distinct(), "lines-pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = cut(nodes.join(distinct.select(F.struct("k1", "fp").alias("node"), "first.*"), "node"), "lines-places")
-    wanted = small(places).withColumnsRenamed({"doc_id": "w_id", "dk": "w_dk", "line_no": "w_no"})
-    each = docs.select("doc_id", document_key().alias("dk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    found = each.join(wanted, (F.col("dk") == F.col("w_dk")) & (F.col("line_no") == F.col("w_no")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    texts = cut(found.select("node", normalised(F.col("line")).alias("norm")).dropDuplicates(["node"]), "lines-texts")
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    # the distance costs length x bound, so smaller bounds, which most links meet, are tried first
-    within = lambda share: f"levenshtein(ta, tb, CAST(floor(greatest(length(ta), length(tb)) * {share!r} + 1e-9) AS INT)) >= 0"
-    most = 1 - similarity
-    test = f"CASE WHEN {within(most / 16)} THEN true WHEN {within(most / 6)} THEN true ELSE {within(most)} END"
-    links = cut(both.where(F.col("a") != F.col("b")).where(F.expr(test)).select("a", "b"), "lines-links")
-    for used in (texts, places):
-        remove(used)
+    return each.where("line <> ''")
+
+
+def names() -> list[Column]:
+    """A line's name among candidates, and what tells apart lines of one name where equal ones are dropped."""
+    return [F.xxhash64("line").alias("id"), F.hash("line").alias("id2")]
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """A row for each different line and kind of fingerprint: kind 0 is over words, kind 1 over runs of characters.
+
+    id, id2: name; main: true in one row a line; n: occurrences; doc_id, dk, line_no: one of them; size: characters of the
+    normalised line; features: how many; held: which blocks have any; q0 to q3: LANE bits of each block in each.
+    """
+    lettered = lines_of(docs).where(F.col("line").rlike(r"[\p{L}\p{M}\p{N}]"))
+    merged = lettered.groupBy(*names()).agg(F.first("line").alias("line"), *[F.first(c).alias(c) for c in _PLACE], F.count("*").alias("n"))
+    line = merged.select("id", "id2", "n", *_PLACE, normalised(F.col("line")).alias("norm"))
+    split = line.withColumns({"words": F.array_distinct(F.split("norm", " ", -1)), "size": F.length("norm")})
+    few, short = F.size("words") < 4, (F.size("words") < 5) | (F.col("size") < GRAM_CHARS)
+    split = split.withColumn("chars", F.when(short, F.split("norm", "", -1)))
+    grams = F.transform(F.slice("chars", 1, F.greatest(F.col("size") - GRAM + 1, F.lit(1))), lambda c, k: F.concat(c, *[F.coalesce(F.get("chars", k + i), F.lit("")) for i in range(1, GRAM)]))
+    view = lambda kind, of, main: F.struct(F.lit(kind).alias("kind"), main.alias("main"), of.alias("of"))
+    views = F.array_compact(F.array(F.when(~few, view(0, F.col("words"), F.lit(True))), F.when(short, view(1, F.array_distinct(grams), few))))
+    base = ["id", "id2", "n", *_PLACE, "size"]
+    seen = split.select(*base, F.explode(views).alias("view")).select(*base, "view.kind", "view.main", F.size("view.of").alias("features"), F.explode("view.of").alias("x"))
+    keys = [*base, "kind", "main", "features"]
+    hashed = seen.select(*keys, F.xxhash64("x").alias("h")).withColumn("block", F.shiftrightunsigned("h", 61).cast("int"))
+    # the rows are already dealt by (id, id2), so what follows doesn't shuffle
+    votes = hashed.select(*keys, "h", F.when(F.col("features") > MOST, F.col("block")).otherwise(-1).alias("alone"), F.when(F.col("features") > MOST, 0).otherwise(F.col("block") * LANE).alias("at"))
+    ones = [F.sum(F.expr(f"shiftleft(shiftrightunsigned(h, {j}) & 1L, at)")).alias(f"s{j}") for j in range(BITS)]
+    counted = votes.groupBy(*keys, "alone").agg(*ones, F.sum(F.expr("shiftleft(1L, at)")).alias("c"))
+    # a count is over half of its block's c if adding top - 1 - floor(c / 2) reaches the bit that is worth top
+    packed, high = F.col("alone") < 0, 8 * LANE - 9
+    half = F.shiftrightunsigned("c", 1)
+    room = F.when(packed, F.lit(_ONES * 63) - half.bitwiseAND(F.lit(_ONES * 63))).otherwise(F.lit((1 << high) - 1) - half)
+    top = F.when(packed, F.lit(_ONES << (LANE - 1))).otherwise(F.lit(1 << high))
+    ready = counted.withColumns({"room": room, "top": top})
+
+    def quarter(k: int) -> Column:
+        bits = [F.shiftrightunsigned((F.col(f"s{k * LANE + j}") + F.col("room")).bitwiseAND(F.col("top")), LANE - 1 - j) for j in range(LANE)]
+        return functools.reduce(Column.bitwiseOR, bits)
+
+    quarters = ready.select(*keys, "alone", "c", *[quarter(k).alias(q) for k, q in enumerate(_QUARTERS)])
+    to = F.col("alone") * LANE
+    placed = {q: F.when(packed, F.col(q)).otherwise(F.call_function("shiftleft", F.shiftrightunsigned(q, high - LANE + 1), to)) for q in _QUARTERS}
+    held = F.when(packed, F.col("c")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), to))
+    bits = quarters.select(*keys, held.alias("held"), *[placed[q].alias(q) for q in _QUARTERS])
+    return bits.groupBy(*keys).agg(*[F.bit_or(c).alias(c) for c in ("held", *_QUARTERS)])
+
+
+def buckets(prints: DataFrame) -> DataFrame:
+    """(bk, id, kind) for each window of a fingerprint that has a feature."""
+    within = [F.when((F.col("kind") == 0) & (F.col("features") >= -(-low * 4 // 5)) & (F.col("features") < high), w) for low, high, w in TIERS]
+    tiers = F.array_compact(F.array(*within, F.when(F.col("kind") == 1, GRAM_WINDOW)))
+    window = prints.select("id", "kind", "held", *_QUARTERS, F.explode(tiers).alias("w")).select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("b"))
+    whole = BLOCKS * LANE
+    mask = F.expr(f"(shiftleft(shiftleft(1L, {LANE} * w) - 1L, {LANE} * b) | shiftrightunsigned(shiftleft(1L, {LANE} * w) - 1L, {whole} - {LANE} * b)) & {(1 << whole) - 1}L")
+    masked = window.withColumn("mask", mask).where("held & mask <> 0")
+    return masked.select(F.xxhash64("kind", "w", "b", *[F.col(q).bitwiseAND(F.col("mask")) for q in _QUARTERS]).alias("bk"), "id", "kind")
+
+
+def _near(a: str, b: str, radius: int, similarity: float) -> Column:
+    """Whether the fingerprints and lengths of two lines (prefixes of columns) allow a link."""
+    differ = sum((F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}"))) for q in _QUARTERS), F.lit(0))
+    longer, shorter = F.greatest(f"{a}size", f"{b}size"), F.least(f"{a}size", f"{b}size")
+    return (differ <= radius) & (shorter >= longer * F.lit(LENGTHS))
+
+
+def words_as_characters(norm: Column) -> Column:
+    """A text with a character for each word, named by the word's hash in a million."""
+    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1_000_000)) + 0x10000), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " ", -1), code), "")), "UTF-32")
+
+
+def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b, ..) of lines whose edit similarity suffices. pairs: a table."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("w_id")).distinct()
+    wanted = small(cut(prints.where("main").join(ids, F.col("id") == F.col("w_id")).select("w_id", *[F.col(c).alias(f"w_{c}") for c in _PLACE]), "lines-places"))
+    found = lines_of(docs).join(wanted, (F.col("dk") == F.col("w_dk")) & (F.col("line_no") == F.col("w_line_no")) & F.col("doc_id").eqNullSafe(F.col("w_doc_id")))
+    texts = found.select(F.col("w_id").alias("id"), normalised(F.col("line")).alias("norm")).dropDuplicates(["id"])
+    texts = cut(texts.select("id", words_as_characters(F.col("norm")).alias("words"), "norm"), "lines-texts")
+    texts = texts.select("id", "words", F.when(F.length("words") < FEW_WORDS, F.col("norm")).alias("norm"))
+    both = pairs.join(texts.toDF("a", "wa", "ta"), "a").join(texts.toDF("b", "wb", "tb"), "b")
+    within = lambda x, y: f"levenshtein({x}, {y}, CAST(floor(greatest(length({x}), length({y})) * {1 - similarity!r} + 1e-9) AS INT)) >= 0"
+    links = cut(both.where(F.expr(f"{within('wa', 'wb')} OR (ta IS NOT NULL AND tb IS NOT NULL AND {within('ta', 'tb')})")).select(*pairs.columns), "lines-links")
+    remove(texts)
     return links
 
 
-def linked(docs: DataFrame, distinct: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, component) of each distinct line that is linked to another. distinct: (k1, fp, size, n, first), a table."""
-    nodes = distinct.select("fp", F.struct("k1", "fp").alias("node"), "size")
-    prints = nodes.groupBy("fp").agg(F.count("*").alias("lines"), F.min("node.k1").alias("k1"))
-    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"))).alias("bk"))
+def linked(docs: DataFrame, prints: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, component) of each line that is linked to another, by id. prints: a table of fingerprints()."""
     bucket = Window.partitionBy("bk")
-    shared = keyed.select("bk", "fp", F.count("*").over(bucket).alias("c"), F.min("fp").over(bucket).alias("head")).where("c > 1")
-    shared = cut(shared.select("bk", "fp", "head"), "lines-shared")
-    several = cut(nodes.join(prints.where("lines > 1").select("fp", F.struct("k1", "fp").alias("first_node")), "fp"), "lines-several")
-
-    # each line meets the first line of the first fingerprint of its buckets, and the first line of its own fingerprint
-    heads = shared.where((F.col("fp") != F.col("head")) & _near("fp", "head", radius)).select("fp", "head").distinct()
-    first = prints.select(F.col("fp").alias("head"), F.struct("k1", "fp").alias("head_node"))
-    stars = heads.join(first, "head").join(nodes, "fp").select(*_ordered("node", "head_node"))
-    own = several.where(F.col("node") != F.col("first_node")).select(*_ordered("node", "first_node"))
-    pairs = cut(stars.unionByName(own).distinct(), "lines-met")
-    links = verified(docs, distinct, pairs, similarity)
-    groups = connected_components(links, "a", "b")
-
-    # what is still apart in a bucket meets; what is together needn't. A fingerprint is together if all its lines are
-    placed = small(groups).withColumnRenamed("node", "g_node")
-    lines = nodes.join(placed, F.col("node") == F.col("g_node"), "left").select("fp", "node", "size", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
-    each = lines.groupBy("fp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("linked").alias("linked"))
-    grouped = cut(each.where("linked AND lo = hi").select(F.col("fp").alias("g_fp"), F.col("lo.k1").alias("g_k"), F.col("lo.fp").alias("g_w")), "lines-grouped")
-    held = shared.join(small(grouped), F.col("fp") == F.col("g_fp"), "left").select("bk", "fp", F.coalesce("g_k", F.lit(0)).alias("k"), F.coalesce("g_w", "fp").alias("w"))
-    held = held.withColumns({"least": F.min(F.struct("k", "w")).over(bucket), "most": F.max(F.struct("k", "w")).over(bucket)}).where("least <> most").select("bk", "fp", "k", "w")
-    apart = held.toDF("bk", "x", "xk", "xw").join(held.toDF("bk", "y", "yk", "yw"), "bk").where((F.col("x") < F.col("y")) & ((F.col("xw") != F.col("yw")) | (F.col("xk") != F.col("yk"))) & _near("x", "y", radius))
-    of = lambda side: lines.select(F.col("fp").alias(side), F.col("node").alias(f"{side}n"), F.col("size").alias(f"{side}s"), F.col("component").alias(f"{side}c"))
-    between = cut(apart.where(_in_first_bucket("x", "y", "bk")).select("x", "y"), "lines-between")  # each pair once
-    met = between.join(of("x"), "x").join(of("y"), "y").select("xn", "xs", "xc", "yn", "ys", "yc")
-    inside = several.select("fp").distinct().withColumnRenamed("fp", "x").join(of("x"), "x")
-    inside = inside.join(of("y"), F.col("x") == F.col("y")).where("xn < yn").select("xn", "xs", "xc", "yn", "ys", "yc")
-    candidates = met.unionByName(inside).where((F.col("xc") != F.col("yc")) & _lengths_allow("xs", "ys", similarity))
-    more = cut(candidates.select(*_ordered("xn", "yn")).distinct().join(pairs, ["a", "b"], "left_anti"), "lines-apart")
+    met = buckets(prints).withColumn("c", F.count("*").over(bucket)).where("c > 1").select("bk", "id", "kind")
+    shared = cut(met.join(prints.select("id", "kind", "size", *_QUARTERS), ["id", "kind"]).select("bk", "id", "size", *_QUARTERS), "lines-shared")
+
+    # at first, each line meets one line of each of its buckets
+    head = F.min(F.struct("id", "size", *_QUARTERS)).over(bucket)
+    stars = shared.select("*", head.alias("h")).where("h.id <> id").select("*", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "size", *_QUARTERS)])
+    stars = cut(stars.where(_near("", "h_", radius, similarity)).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct(), "lines-met")
+    groups = connected_components(verified(docs, prints, stars, similarity), "a", "b")
+
+    # what is still apart in a bucket meets; what is together needn't
+    group = small(groups).withColumnsRenamed({"node": "g_id", "component": "g"})
+    placed = shared.join(group, F.col("id") == F.col("g_id"), "left").select(*shared.columns, F.coalesce("g", "id").alias("g"))
+    mixed = placed.withColumns({"low": F.min("g").over(bucket), "high": F.max("g").over(bucket)}).where("low <> high").drop("low", "high")
+    one, two = (mixed.select("bk", *[F.col(c).alias(f"{side}_{c}") for c in mixed.columns if c != "bk"]) for side in "xy")
+    apart = one.join(two, "bk").where(F.col("x_id") < F.col("y_id")).where(F.col("x_g") != F.col("y_g")).where(_near("x_", "y_", radius, similarity))
+    apart = apart.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_g").alias("ga"), F.col("y_g").alias("gb")).distinct()
+    more = cut(apart.join(stars, ["a", "b"], "left_anti"), "lines-apart")
     remove(shared)
     if more.isEmpty():
         return groups
-    return connected_components(links.unionByName(verified(docs, distinct, more, similarity)), "a", "b")
+    joins = verified(docs, prints, more, similarity)
+    merged = connected_components(joins, "ga", "gb").toDF("g", "whole")
+    alone = joins.select(F.explode(F.array("ga", "gb")).alias("node")).distinct().join(groups, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return cut(groups.unionByName(alone).join(merged, F.col("component") == F.col("g"), "left").select("node", F.coalesce("whole", "component").alias("component")), "lines-groups")
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def dropped_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, dk, dropped): the numbers of the lines that each document loses."""
     docs = docs.select("doc_id", "text")
-    lines = cut(lines_of(docs, min_words), "lines-all")
+    prints = cut(fingerprints(docs), "lines-prints")
+    groups = linked(docs, prints, radius, similarity)
+    joined = prints.where("main").select("id", "id2", "n").join(groups, F.col("id") == F.col("node"), "left")
+    several = cut(joined.where("n > 1 OR component IS NOT NULL").select(F.col("id").alias("g_id"), F.col("id2").alias("g_id2"), F.coalesce("component", "id").alias("g")), "lines-several")
+    named = lines_of(docs).select(*_PLACE, *names())
+    held = cut(named.join(small(several), (F.col("id") == F.col("g_id")) & (F.col("id2") == F.col("g_id2"))).select("g", *_PLACE), "lines-repeated")
     place = F.struct("doc_id", "line_no", "dk")
-    distinct = cut(lines.groupBy("k1", "fp").agg(F.min("size").alias("size"), F.count("*").alias("n"), F.min(place).alias("first")), "lines-distinct")
-    groups = linked(docs, distinct, radius, similarity)
-    named = distinct.join(groups.select("node.k1", "node.fp", "component"), ["k1", "fp"])
-    firsts = named.groupBy("component").agg(F.min("first").alias("keep"))
-    fuzzy = named.join(firsts, "component").select("k1", "fp", "keep")
-    exact = distinct.where("n > 1").join(groups.select("node.k1", "node.fp"), ["k1", "fp"], "left_anti").select("k1", "fp", F.col("first").alias("keep"))
-    keeps = cut(fuzzy.unionByName(exact), "lines-keeps")
-    gone = lines.join(small(keeps), ["k1", "fp"]).where(~place.eqNullSafe(F.col("keep")))
-    return cut(gone.groupBy("doc_id", "dk").agg(F.collect_set("line_no").alias("dropped")), "lines-dropped")
-
-
-def with_kept_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with text reduced to the lines that stay, and n_lines and n_dropped."""
-    gone = small(dropped_lines(docs, min_words, radius, similarity)).toDF("__id", "__dk", "__gone")
-    same = (document_key() == F.col("__dk")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    found = docs.join(gone, same, "left")
-    lines, lost = F.split("text", "\n", -1), F.col("__gone").isNotNull()
-    rest = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("__gone"), k)), "\n")
-    columns = [F.when(lost, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return found.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(lost, F.size("__gone")).otherwise(0).cast("long").alias("n_dropped"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    firsts = small(cut(held.groupBy("g").agg(F.min(place).alias("keep")), "lines-firsts"))
+    gone = held.join(firsts, "g").where(~place.eqNullSafe(F.col("keep")))
+    out = cut(gone.groupBy("doc_id", "dk").agg(F.collect_set("line_no").alias("dropped")), "lines-dropped")
+    for used in (prints, several, held):
+        remove(used)
+    return out
+
+
+def with_kept_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with text reduced to the lines that stay, and n_lines and n_dropped, which replace columns of those names."""
+    return _kept(docs, "n_lines", "n_dropped", radius, similarity)
+
+
+def _kept(docs: DataFrame, n_lines: str, n_dropped: str, radius: int, similarity: float) -> DataFrame:
+    of_doc, of_key, gone = (free_name(x, docs.columns) for x in ("of_doc", "of_key", "gone"))
+    lost = small(dropped_lines(docs, radius, similarity)).toDF(of_doc, of_key, gone)
+    found = docs.join(lost, (document_key() == F.col(of_key)) & F.col("doc_id").eqNullSafe(F.col(of_doc)), "left")
+    lines, loses = F.split("text", "\n", -1), F.col(gone).isNotNull()
+    rest = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col(gone), k)), "\n")
+    columns = [F.when(loses, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in (n_lines, n_dropped)]
+    return found.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines), F.when(loses, F.size(gone)).otherwise(0).cast("long").alias(n_dropped))
+
+
+def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without repeated lines; n_chars, if there, follows the text. Documents that lose all lines go."""
-    own = [c for c in ("n_lines", "n_dropped") if c in docs.columns]  # the documents' columns of those names come back
-    held = docs.withColumnsRenamed({c: f"__{c}" for c in own})
-    found = with_kept_lines(held, min_words, radius, similarity).where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    n_lines, n_dropped = (free_name(x, docs.columns) for x in ("n_lines", "n_dropped"))
+    found = _kept(docs, n_lines, n_dropped, radius, similarity).where((F.col(n_dropped) == 0) | (F.col(n_dropped) < F.col(n_lines)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return found.drop("n_lines", "n_dropped").withColumnsRenamed({f"__{c}": c for c in own}).select(*[F.col(f"`{c}`") for c in docs.columns])
+        found = found.withColumn("n_chars", F.when(F.col(n_dropped) == 0, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

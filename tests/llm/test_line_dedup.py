@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -27,25 +28,67 @@ def distance(a, b):
     return last[-1]
 
 
-def slow(spark, rows, min_words=5, radius=3, similarity=0.8):
-    """[(row, kept lines)] by comparing all pairs of lines; only the hash of a word is taken from Spark."""
+def views(line):
+    """{kind: (number of features, for each block its votes or None)} of a normalised line."""
+    words = set(line.split(" "))
+    grams = {line[k : k + 3] for k in range(max(1, len(line) - 2))}
+    kinds = {}
+    if len(words) >= 4:
+        kinds[0] = words
+    if len(words) < 5 or len(line) < 40:
+        kinds[1] = grams
+    out = {}
+    for kind, features in kinds.items():
+        blocks = [[] for _ in range(8)]
+        for h in (xxhash.xxh64_intdigest(x.encode(), 42) for x in features):
+            blocks[h >> 61].append(h)
+        out[kind] = len(features), [[2 * sum(h >> j & 1 for h in block) > len(block) for j in range(28)] if block else None for block in blocks]
+    return out
+
+
+def windows(kind, n, blocks):
+    sizes = [2] if kind else [w for low, high, w in ((5, 10, 4), (10, 20, 3), (20, 50, 2), (50, 10**9, 1)) if 0.8 * low <= n < high]
+    for w in sizes:
+        for c in range(8):
+            part = [blocks[(c + k) % 8] for k in range(w)]
+            if any(x is not None for x in part):
+                yield kind, w, c, str([x or [False] * 28 for x in part])
+
+
+def similar(a, b, similarity=0.8):
+    """By words, and for lines of under ten words also by characters."""
+    wa, wb = a.split(" "), b.split(" ")
+    near = lambda x, y: distance(x, y) <= int(max(len(x), len(y)) * (1 - similarity) + 1e-9)
+    return near(wa, wb) or (len(wa) < 10 and len(wb) < 10 and near(a, b))
+
+
+def linked_lines(texts):
+    """Pairs of different normalised lines that share a window, are near by fingerprint and length, and are similar."""
+    seen = {x: views(x) for x in texts}
+    buckets = {}
+    for x in texts:
+        for kind, (n, blocks) in seen[x].items():
+            for w in windows(kind, n, blocks):
+                buckets.setdefault(w, []).append(x)
+    for (kind, *_), members in buckets.items():
+        for i, a in enumerate(members):
+            for b in members[i + 1 :]:
+                fa, fb = ([y for x in seen[z][kind][1] for y in (x or [False] * 28)] for z in (a, b))
+                if sum(p != q for p, q in zip(fa, fb)) <= 56 and min(len(a), len(b)) >= 0.7 * max(len(a), len(b)):
+                    yield a, b
+
+
+def slow(spark, rows):
+    """[(row, kept lines)] by comparing lines pair by pair."""
     lines = [(r, k, normal(x)) for r, (_, text) in enumerate(rows) if text is not None for k, x in enumerate(text.split("\n"))]
-    lines = [x for x in lines if len(x[2].split(" ")) >= min_words and x[2]]
+    lines = [x for x in lines if x[2]]
     texts = sorted({x[2] for x in lines})
-    words = sorted({w for x in texts for w in x.split(" ")})
-    hashed = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()} if words else {}
-    fp = {}
-    for x in texts:
-        hs = [hashed[w] for w in x.split(" ")]
-        fp[x] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
     group = {x: {x} for x in texts}
-    for i, a in enumerate(texts):
-        for b in texts[i + 1 :]:
-            near = (fp[a] ^ fp[b]).bit_count() <= radius
-            if near and group[a] is not group[b] and distance(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9):
-                group[a] |= group[b]
-                for x in group[b]:
-                    group[x] = group[a]
+    for a, b in linked_lines(texts):
+        if group[a] is not group[b] and similar(a, b):
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
     place = {}
     for r, k, x in lines:
         key = (rows[r][0] is not None, rows[r][0] or 0, k)
@@ -96,7 +139,7 @@ def test_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"dk": F.lit(1), "dropped": F.lit("mine"), "n_chars": F.length("text").cast("long"), "node": F.lit(2)})
     found = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
     assert linededup.dedup_lines(docs).columns == docs.columns
-    assert found[1].text == f"x\n{line}" and found[2].text == "short one\n\nshort one" and found[2].n_chars == 20
+    assert found[1].text == f"x\n{line}" and found[2].text == "short one\n" and found[2].n_chars == 10
     assert found[3].text is None and found[4].text == "" and 5 not in found and 7 not in found and None in found and 8 in found
     assert found[1].dropped == "mine"
     assert linededup.dedup_lines(docs.limit(0)).collect() == []
@@ -107,13 +150,57 @@ def test_equal_rows_keep_the_same_lines(spark):
     assert [r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [rows[0][1]] * 2
 
 
-@pytest.mark.parametrize("n", [1, 5, 127, 128, 300, 40_000])
-def test_simhash_of_any_number_of_words(spark, n):
-    rng = random.Random(n)
-    hashes = [rng.getrandbits(64) - 2**63 for _ in range(n)]
-    df = spark.createDataFrame([(hashes,)], "h array<long>")
-    found = df.select(linededup.simhash(F.col("h"), F.size("h")).alias("fp")).first().fp & (2**64 - 1)
-    assert found == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
+@pytest.mark.parametrize("n", [1, 4, 5, 127, 128, 129, 3000, 40_000])
+def test_fingerprints_of_any_number_of_words(spark, n):
+    """Packed counters and those of single blocks give what counting gives."""
+    words = [f"w{k}" for k in range(n)]
+    found = {r.kind: r for r in linededup.fingerprints(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).collect()}
+    want = views(" ".join(words))
+    assert set(found) == set(want)
+    for kind, (count, blocks) in want.items():
+        row = found[kind]
+        assert row.features == count
+        for c, block in enumerate(blocks):
+            assert (row.held >> 7 * c & 127 > 0) == (block is not None)
+            got = [bool(row[f"q{j // 7}"] >> (7 * c + j % 7) & 1) for j in range(28)]
+            assert got == (block or [False] * 28)
+
+
+def test_recall_of_similar_lines(spark):
+    """Of all pairs that are similar by edit distance, whatever their fingerprints, nine in ten are linked, at each length."""
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bcdfghklmnprst" for b in ("a", "e", "o", "ui") for c in ("n", "rt", "lo", "mi", "s")]
+    for low, high in ((3, 5), (5, 10), (10, 20), (20, 50), (50, 120)):
+        near = []
+        while len(near) < 150:
+            line = [rng.choice(words) for _ in range(rng.randrange(low, high))]
+            other = list(line)
+            for _ in range(rng.randrange(1, 2 + len(line) // 12)):
+                k = rng.randrange(len(other))
+                other[k : k + 1] = rng.choice(([], [rng.choice(words)], [other[k], rng.choice(words)], [other[k] + "s"], [other[k]]))
+            a, b = " ".join(line), " ".join(other)
+            if a != b and b and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+                near.append((a, b))
+        docs = spark.createDataFrame([(2 * k + side, pair[side]) for k, pair in enumerate(near) for side in (0, 1)], "doc_id long, text string")
+        stay = {r.doc_id for r in linededup.dedup_lines(docs).collect()}
+        assert sum(2 * k + 1 not in stay for k in range(150)) >= 0.9 * 150, (low, high)
+
+
+def test_many_variants_of_one_line(spark):
+    """A crowd of variants, each a word from the first, is one group; lines that share a passage with them are not in it."""
+    rng = random.Random(2)
+    base = [f"word{rng.randrange(500)}" for _ in range(40)]
+    rows = [(k, " ".join(f"x{k}" if j == k % 40 else w for j, w in enumerate(base))) for k in range(600)]
+    rows += [(1000 + k, " ".join(base[:20] + [f"own{k}a{j}" for j in range(20)])) for k in range(300)]
+    stay = sorted(r.doc_id for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert stay == [0, *range(1000, 1300)]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "same line of words here\nother", 7, 8, 9), (2, "same line of words here", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, of_doc int, GONE int").withColumn("__id", F.lit(5))
+    found = linededup.dedup_lines(docs)
+    assert found.columns == docs.columns and [tuple(r) for r in found.collect()] == [(1, rows[0][1], 7, 8, 9, 5)]
 
 
 def test_main_path_has_no_python(spark):
