@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, langid, linededup, packing, simhash
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, free_name, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without a letter go. Learns from the rows that op10 learns from."""
     learnt = docs.select("doc_id", "text", "lang").where(langid.teaching_row())
-    return langid.identify(docs, learnt).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    lang, score = (free_name(x, docs.columns) for x in ("lang_pred", "score"))
+    found = langid.identify(docs, learnt, names=(lang, score)).where(F.col(lang) != langid.UNKNOWN)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each group of equal or similar lines keeps its first; documents that lose all their lines go."""
     return linededup.dedup_lines(docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of equal or similar texts one document stays."""
     return simhash.deduplicate(docs)
 
 
@@ -33,6 +37,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in as few sequences as best fit finds; a row for each piece, as op6 gives it."""
     return packing.best_fit_packing(docs, packing.word_tokenizer())
 
 

@@ -6,18 +6,22 @@ to their items. A document is translated, split and numbered; only runs of bench
 looked up. A word inside any occurrence of a window is hit.
 
 The dictionary is broadcast. Its size follows the benchmark's, which is measured first: above BLOCK_BYTES of text the
-benchmark is dealt into blocks of about that size, and the documents are scanned once for each block, the rows kept in
-the shared folder in between. No block's results depend on another's, so the outcome is the same.
+benchmark is dealt into blocks of about that size, and the documents are scanned once for each block. Of those scans only
+the hits of texts that have any are kept, and joined to the documents by two hashes and the length of the text. No
+block's results depend on another's, so the outcome is the same.
 
 Defined cases: null text has no words and no hits; an item without words never occurs; equal items count once by
-item_id, a null item_id as the string null; repeated documents each give a row; all columns of a document are kept,
-save those named like the results, which are replaced.
+item_id, a null item_id as the string null; repeated documents each give a row; an empty table gives no rows. scan()
+keeps all columns of a document save those named like its results, which are replaced; decontaminate() keeps all.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, free_name, once, sliced, table
 
 WINDOW, BLOCK_BYTES, HIT_SHARE = 13, 4 << 20, 20
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -96,32 +100,67 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
         yield [(r.item_id, r.text) for r in part.collect()]
 
 
+def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, str | None, Callable]:
+    """docs, the name of a column with hits already found in it (an array of runs and items) if any, and what finds others.
+
+    With one block, nothing is found yet and the function scans for it. With more, each block is scanned for by itself,
+    only the hits of each text that has any are kept, by names of the texts, and then joined to the documents.
+    """
+    blocks = _blocks(benchmark, block_bytes)
+    first, more = next(blocks), next(blocks, None)
+    context = docs.sparkSession.sparkContext
+    if more is None:
+        return docs, None, _scanner(context.broadcast(first), window)
+    names = [free_name(f"text_{k}", docs.columns) for k in range(3)]
+    named = docs.select(F.col("text").cast("string").alias("text")).select(*[c.alias(k) for c, k in zip((F.xxhash64("text"), F.hash("text"), F.octet_length("text")), names)], "text")
+    schema = T.StructType([*(named.schema[k] for k in names), *_FIELDS.fields[1:]])
+    parts = [cut(named.mapInArrow(_only_hits(names, _scanner(context.broadcast(items), window)), schema), "decontamination-hits") for items in itertools.chain((first, more), blocks)]
+    union = functools.reduce(DataFrame.unionByName, parts)
+    merged = union.groupBy(*names).agg(F.struct(F.collect_set("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")).alias(found := free_name("found", docs.columns)))
+    keyed = docs.withColumns(dict(zip(names, (F.xxhash64(F.col("text").cast("string")), F.hash(F.col("text").cast("string")), F.octet_length(F.col("text").cast("string"))))))
+    return keyed.join(merged, names, "left").drop(*names), found, _merger
+
+
+def _scanner(shared, window: int) -> Callable:
+    key = uuid.uuid4().hex
+
+    def scan_texts(texts: pa.Array, found: None) -> list[tuple[int, list[int], list[str]]]:
+        windows = once(key, lambda: Windows(shared.value, window))
+        return [(n, hits, sorted(items)) for n, hits, items in (windows.scan(t.as_py()) for t in texts)]
+
+    return scan_texts
+
+
+def _merger(texts: pa.Array, found: pa.Array) -> list[tuple[int, list[int], list[str]]]:
+    out = []
+    for text, one in zip(texts, found.to_pylist()):
+        hits = functools.reduce(_union, one["hits"], []) if one else []
+        out.append((len(words_of(text.as_py())), hits, sorted(one["items"]) if one else []))
+    return out
+
+
+def _only_hits(names: list[str], scan_texts: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text"):
+            out = scan_texts(b.column("text"), None)
+            rows = [k for k, (_, hits, _) in enumerate(out) if hits]
+            kept = [b.column(k).take(pa.array(rows, pa.int64())) for k in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([out[k][1] for k in rows], pa.list_(pa.int64())), pa.array([out[k][2] for k in rows], pa.list_(pa.string()))], [*names, "hits", "items"])
+
+    return run
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """docs (or the columns in keep, and text if there) with n_words, hits (flat array of runs of hit words) and items."""
-    spark, kept = docs.sparkSession, [c for c in (docs.columns if keep is None else keep) if c not in _FIELDS.names]
-    for k, items in enumerate(_blocks(benchmark, block_bytes)):
-        if k:
-            docs = cut(docs, "decontamination-block")
-        shared = spark.sparkContext.broadcast(items)
-        docs = _scan_block(docs, kept, shared, window, bool(k))
-    return docs.select(*kept, *_FIELDS.names)
-
-
-def _scan_block(docs: DataFrame, kept: list[str], shared, window: int, again: bool) -> DataFrame:
-    columns = list(dict.fromkeys([*kept, "text", *(_FIELDS.names if again else [])]))
-    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
-    first = [c for c in columns if c not in _FIELDS.names]
-    schema = T.StructType([*(docs.schema[c] for c in first), *_FIELDS.fields])
+    """docs (or the columns in keep) with n_words, hits (flat array of runs of hit words) and items."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in _FIELDS.names]
+    docs, found, find = _with_hits(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])]), benchmark, window, block_bytes)
+    schema = T.StructType([*(docs.schema[c] for c in kept), *_FIELDS.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, window)
-        for b in batches:
-            old = list(zip(b.column("hits").to_pylist(), b.column("items").to_pylist())) if again else repeat(([], []))
-            out = [windows.scan(t.as_py()) for t in b.column("text")]
-            out = [(n, _union(runs, hits), sorted(items | {*owners})) for (n, hits, items), (runs, owners) in zip(out, old)]
-            n, hits, items = zip(*out) if out else ((), (), ())
+        for b in sliced(batches, "text"):
+            n, hits, items = zip(*find(b.column("text"), b.column(found) if found else None))
             made = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in first), *made], names=[*first, *_FIELDS.names])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -146,21 +185,35 @@ def without_spans(text: str, hits: list[int]) -> str:
     return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without contaminated documents, and without the hit spans of those that stay; n_chars follows the text if present."""
-    found = scan(docs, benchmark, window).where(~contaminated())
+def is_contaminated(n_words: int, hits: list[int]) -> bool:
+    """As contaminated()."""
+    n_hit = sum(hits[1::2]) - sum(hits[::2])
+    return n_hit > 0 and HIT_SHARE * n_hit >= n_words
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated documents, and without the hit spans of those that stay; n_chars follows the text if present.
+
+    One Python pass finds, decides and cuts; all other columns stay, whatever their names.
+    """
     columns, schema = docs.columns, docs.schema
+    docs, found, find = _with_hits(docs, benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = [t if not h else without_spans(t, h) for t, h in zip(b.column("text").to_pylist(), b.column("hits").to_pylist())]
-            made = {"text": pa.array(text, b.column("text").type)}
-            if "n_chars" in columns:
-                sizes = [n if not h else len(t) for n, t, h in zip(b.column("n_chars").to_pylist(), text, b.column("hits").to_pylist())]
-                made["n_chars"] = pa.array(sizes, b.column("n_chars").type)
-            yield pa.RecordBatch.from_arrays([made.get(c, b.column(c)) for c in columns], names=columns)
-
-    return found.mapInArrow(run, schema)
+        for b in sliced(batches, "text"):
+            out = find(b.column("text"), b.column(found) if found else None)
+            stay = [k for k, (n, hits, _) in enumerate(out) if not is_contaminated(n, hits)]
+            b = b.select(columns).take(pa.array(stay, pa.int64()))
+            if any(out[k][1] for k in stay):
+                texts = [without_spans(t, out[k][1]) if out[k][1] else t for k, t in zip(stay, b.column("text").to_pylist())]
+                made = {"text": pa.array(texts, b.column("text").type)}
+                if "n_chars" in columns:
+                    sizes = [len(t) if out[k][1] else n for k, t, n in zip(stay, texts, b.column("n_chars").to_pylist())]
+                    made["n_chars"] = pa.array(sizes, b.column("n_chars").type)
+                b = pa.RecordBatch.from_arrays([made.get(c, b.column(c)) for c in columns], names=columns)
+            yield b
+
+    return docs.mapInArrow(run, schema)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

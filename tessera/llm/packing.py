@@ -3,8 +3,11 @@
 1. Each partition tokenises its documents and cuts those longer than a sequence into pieces.
 2. Each partition packs its pieces best-fit, longest first, CHUNK at a time. Bins with at most SLACK free tokens are done.
 3. Underfull bins go on as items: a tree of FAN children a node merges them best-fit, round by round, up to one node. A node
-   hands on at most CARRY bins, the emptiest; the fuller ones are then final as they are (nothing is lost, so the bound
-   costs a little room and never a row). Each round's moves are a small table; a piece's place is the sum of its moves.
+   hands on the CARRY emptiest bins; the fuller ones are then final. That leaves as many merges possible at any size: of the bins that one best fit
+   makes, any two overflow a sequence together (the later one was opened for what did not fit), so at most one is at most
+   half full, and only such a small bin can ever join another. A node's other bins can only take in small bins from elsewhere, at most
+   FAN in each round above it, and if any bin has room for one, one of the emptiest has; CARRY is far above FAN x rounds.
+   Each round's moves are a small table; a piece's place is the sum of its moves.
 
 Only lengths travel through the tree; token ids are never shuffled. Words are tokenised once per worker and
 remembered, which gives the tokenizer's own result as no token of this vocabulary spans white space.
@@ -27,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, sliced, table
 
 CAPACITY, END = 4096, 1
-SLACK, CHUNK, FAN, CARRY, REMEMBERED = 8, 200_000, 8, 20_000, 300_000
+SLACK, CHUNK, FAN, CARRY, REMEMBERED = 8, 200_000, 8, 2_000, 200_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -139,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end, wide = WordTokenizer(tokenizer), np.array([END], "<u4").tobytes(), 4 * capacity
-        for b in batches:
+        for b in sliced(batches, "text"):
             out: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = words.ids(text.as_py() or "") + end

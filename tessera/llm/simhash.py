@@ -17,7 +17,8 @@ Shuffled volume is 8 bytes (the stage: 160, twice) x strips for each distinct fi
 pass STRIP_ROWS; beyond that it grows with the input and the comparison with its square, as exact comparison must.
 
 Defined cases: null or blank text has fingerprint zero and is linked like any other. Equal rows each give a row. A
-null doc_id never names a group; a group with no other id has a null component_id. Further columns are ignored.
+null doc_id never names a group; a group with no other id has a null component_id. Further columns are ignored; the
+stage keeps them, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small, table
+from tessera.llm.common import cut, free_name, small, sliced, table
 from tessera.llm.components import connected_components
 
 WORDS, RADIUS = 4, 4
@@ -84,7 +85,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "text"):
             fps = [fingerprint(t.as_py(), words) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"])
 
@@ -212,16 +213,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for each row; component_id is the smallest doc_id reachable by links."""
     each = cut(fingerprints(docs, words), "simhash-each")
-    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
-    return _named(each, distinct, connected_components(links(distinct.select("fp"), radius), "u", "v"), "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    groups = connected_components(links(distinct.select("fp"), radius), "u", "v")
+    return each.join(_least(distinct, groups, "fp"), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
-def _named(each: DataFrame, distinct: DataFrame, groups: DataFrame, by: str) -> DataFrame:
-    """each with component_id, the smallest doc_id of its group. distinct: (by, least_id)."""
-    grouped = cut(distinct.join(groups.withColumnRenamed("node", by), by, "left").select(by, "least_id", F.coalesce("component", by).alias("component")), "simhash-grouped")
-    first = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = cut(grouped.join(first, "component").select(by, "component_id"), "simhash-named")
-    return each.join(named, by)
+def _least(distinct: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """(by, least) with the least of each group. distinct: (by, least) of each node."""
+    grouped = cut(distinct.join(groups.withColumnRenamed("node", by), by, "left").select(by, "least", F.coalesce("component", by).alias("component")), "simhash-grouped")
+    return cut(grouped.drop("least").join(grouped.groupBy("component").agg(F.min("least").alias("least")), "component").select(by, "least"), "simhash-named")
 
 
 # The stage: exact similarity of sets of shingles
@@ -241,7 +241,7 @@ def sketches(docs: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
     """(doc_id, rk, key, n, fp, sig) for each row: names of the row and of its set of shingles, the set's size and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "text"):
             rows = []
             for t in b.column(2):
                 hashes = shingle_set(t.as_py(), words)
@@ -316,7 +316,7 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, words: int,
     """Those pairs (u, v) whose sets of shingles are that similar, counted on the texts. distinct: (key, rk, ..)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "text"):
             for t in b.column(2):  # a text at a time, as its hashes take more room than itself
                 hashes = shingle_set(t.as_py(), words)
                 made = [pa.array([set_key(hashes)], pa.int64()), pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))]
@@ -331,9 +331,13 @@ def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, words: int,
 
 
 def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) for each row; links are sets of shingles of that similarity, found as the module says."""
+    """(doc_id, rk, first) for each row: first is the (nameless, doc_id, rk) that comes first in its group.
+
+    rk is a hash of doc_id and text. Links are sets of shingles of that similarity, found as the module says.
+    """
     each = cut(sketches(docs, words), "simhash-each")
-    distinct = cut(each.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), "simhash-distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk")
+    distinct = cut(each.groupBy("key").agg(F.min(row).alias("least"), F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), "simhash-distinct")
     sketched = distinct.select("key", "n", "fp", "sig", F.col("key").alias("group"))
     pairs = cut(candidates(sketched, radius, lanes_agreeing(similarity), similarity, True), "simhash-forest")
     found = verified(docs, distinct, pairs, words, similarity)
@@ -343,24 +347,28 @@ def similar_documents(docs: DataFrame, words: int = STAGE_WORDS, radius: int = S
     more = cut(candidates(grouped, radius, least, similarity, False).join(pairs.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")), (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left_anti"), "simhash-apart")
     if not more.isEmpty():
         groups = connected_components(found.unionByName(verified(docs, distinct, more, words, similarity)), "u", "v")
-    return _named(each.select("doc_id", "key"), distinct.select("key", "least_id"), groups, "key").select("doc_id", "component_id")
+    return each.select("doc_id", "rk", "key").join(_least(distinct.select("key", "least"), groups, "key"), "key").select("doc_id", "rk", F.col("least").alias("first"))
 
 
-def deduplicate(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, similarity: float | None = SIMILARITY) -> DataFrame:
-    """docs with one document of each group: that with the group's smallest doc_id, and one row of it if it has several.
+def deduplicate(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each group: that with the smallest doc_id, and of different texts under that doc_id the one that comes
+    first in order of a hash.
 
-    Documents without a doc_id can't be named, and stay.
+    Rows are told apart by doc_id and text, so different texts under one doc_id are decided on each for itself. Of rows equal in
+    both, any one stays. Rows without a doc_id come last and take part like any other.
     """
-    found = near_duplicates(docs, words, radius) if similarity is None else similar_documents(docs, words, radius, similarity)
-    found = cut(found.select("doc_id", "component_id"), "simhash-groups")
-    named = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
-    special = cut(named.where("NOT stays OR rows > 1"), "simhash-special")
-    joined = docs.join(small(special.select("doc_id", "stays")).toDF("__id", "__stays"), F.col("doc_id").cast("long") == F.col("__id"), "left")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rk")
+    found = similar_documents(docs, words, radius, similarity).select("doc_id", "rk", (row == F.col("first")).alias("stays"))
+    rows = found.groupBy("rk", "doc_id").agg(F.min("stays").alias("stays"), F.count("*").alias("rows"))
+    special = cut(rows.where("NOT stays OR rows > 1").select("rk", "doc_id", "stays"), "simhash-special")
+    key, of_doc, stays, name = (free_name(x, docs.columns) for x in ("of_row", "of_doc", "stays", "row_name"))
+    named = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    joined = named.join(small(special).toDF(key, of_doc, stays), (F.col(name) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(of_doc)), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = joined.where("__id IS NULL").select(*columns)
+    single = joined.where(F.col(key).isNull()).select(*columns)
     if special.where("stays").isEmpty():
         return single
-    return single.unionByName(joined.where("__stays").select(*columns).dropDuplicates(["doc_id"]))
+    return single.unionByName(joined.where(stays).dropDuplicates([name, "doc_id"]).select(*columns))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,19 @@ def test_stages_match_brute_force(spark, docs):
     check_pieces(found, got, Tokenizer.from_file(packing.word_tokenizer()))
 
 
+def test_stages_keep_columns_of_any_name(spark, docs):
+    """Names that a stage uses itself, and an empty table."""
+    named = docs.limit(40).withColumns({"score": F.lit(7.5), "lang_pred": F.lit("mine"), "__id": F.lit(1), "n_lines": F.lit(2), "items": F.lit(3), "n_words": F.lit(4), "hits": F.lit(5), "of_row": F.lit(6), "dk": F.lit(8)})
+    for start in (named, named.limit(0)):
+        now = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SMALL)
+            assert now.columns == named.columns
+        got = now.drop("doc_id", "text", "lang", "source", "n_chars").distinct().collect()
+        assert [tuple(r) for r in got] == ([(7.5, "mine", 1, 2, 3, 4, 5, 6, 8)] if start is named else [])
+        assert (corpus_pipeline.STAGES[-1][1](spark, now, SMALL).count() > 0) == (start is named)
+
+
 def test_run_is_the_stages_in_turn(spark, docs):
     now = docs
     for _, stage in corpus_pipeline.STAGES:
