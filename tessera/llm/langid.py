@@ -6,8 +6,11 @@ is a phrase), and the language needing the fewest phrases, each weighted with lo
 bits that name a place in it) and divided by the text's symbols, wins. Ties go to the first language in order.
 
 The automaton is laid out as a table in which the step that ends a phrase also begins the next, so that parsing is one
-table look-up a symbol, done by numpy for many stretches of text at once. A text is parsed whole, in stretches of
-STRETCH symbols: a phrase also ends where a stretch does, for every language alike.
+look-up a symbol, done by numpy for many stretches of STRETCH symbols at once. Stretches are first parsed from nothing, then
+each again from the state that the one before ends in, until the two parses meet, which they soon do (looked for at
+MARKS; if not there, the stretch is parsed to its end). So the result is that
+of one unbroken parse. The table has a place for each state and symbol while that is at most DENSE places; for languages of very
+many letters it holds only the transitions there are.
 
 Symbols are letters, lower-cased; each run of anything else is one gap.
 
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import once, sliced, table
 
 SAMPLE_ROWS, TRAIN_CHARS, STRETCH = 48, 24_000, 512
+DENSE, MARKS, FEW = 1 << 22, (48, 96, 192), 60
 UNKNOWN = "und"
-AT_ONCE = 2_000_000  # symbols parsed at once
+AT_ONCE = 2_000_000  # bytes of text parsed at once
 _LETTER: np.ndarray | None = None
-_built: dict[str, Languages] = {}  # a worker's tables, for the query that it serves
 
 
 def _letters() -> np.ndarray:
@@ -110,22 +113,40 @@ class Languages:
         self.code[known] = np.arange(len(known))
         self.width = len(known) + 1
         self.tables, self.bits = [], []
+        self.kind = np.int32 if self.width * 2 * max([1, *(len(x) for _, x in trained)]) * 4 + 8 < 2**31 else np.int64
         for _, x in trained:
             self.tables.append(self._table(suffix_automaton(self.code[x].tolist())))
             self.bits.append(float(np.log2(max(2, len(x)))))
 
-    def _table(self, step: list[dict[int, int]]) -> np.ndarray:
-        """For state and symbol: next state * width * 4 + phrases that end. State 0 holds no phrase; others hold an open one."""
+    def _table(self, step: list[dict[int, int]]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """From states (times width) and symbols to next state * width * 4 + phrases that end. State 0 holds no phrase; others hold an open one."""
         size = np.fromiter(map(len, step), np.int64, len(step))
         state = np.repeat(np.arange(len(step)), size)
         char = np.fromiter((c for d in step for c in d), np.int64, int(size.sum()))
-        to = np.fromiter((t for d in step for t in d.values()), np.int64, int(size.sum()))
+        to = np.fromiter((t for d in step for t in d.values()), np.int64, int(size.sum())) * self.width * 4
         root = np.full(self.width, 1, np.int64)  # a symbol that doesn't occur: a phrase, and none open
-        root[char[state == 0]] = to[state == 0] * self.width * 4
-        out = np.repeat((root + 1)[None, :], len(step), axis=0)  # the open phrase ends first
-        out[0] = root
-        out[state, char] = to * self.width * 4
-        return out.ravel().astype(np.int32 if out.size * 4 < 2**31 else np.int64)
+        root[char[state == 0]] = to[state == 0]
+        if len(step) * self.width <= DENSE:
+            out = np.repeat((root + 1).astype(self.kind)[None, :], len(step), axis=0)  # the open phrase ends first
+            out[0] = root
+            out[state, char] = to
+            flat = out.ravel()
+
+            def dense(at: np.ndarray, c: np.ndarray) -> np.ndarray:
+                return flat[at + c]
+
+            dense.one = flat.item  # type: ignore[attr-defined]
+            return dense
+        key = state * self.width + char
+        order = np.argsort(key)
+        keys, to = np.append(key[order], np.iinfo(np.int64).max), np.append(to[order], 0)
+
+        def look(at: np.ndarray, c: np.ndarray) -> np.ndarray:
+            wanted = at.astype(np.int64) + c
+            k = np.searchsorted(keys, wanted)
+            return np.where(keys[k] == wanted, to[k], root[c] + (at > 0)).astype(self.kind)
+
+        return look
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Number of phrases of each text (an array of symbols) in each language."""
@@ -139,21 +160,70 @@ class Languages:
         sizes[ends] = [len(x) - (n - 1) * STRETCH for x, n in zip(texts, counts) if n]
         begins = np.cumsum(sizes) - sizes
         order = np.argsort(-sizes, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        follows = np.where(np.append(owner[1:], -1) == owner, np.append(place[1:], -1), -1)[order]  # the text's next stretch
         owner, sizes, begins = owner[order], sizes[order], begins[order]
         flat = self.code[np.concatenate(texts)]
         live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")  # stretches of at least so many symbols
         grid = np.zeros((len(live), len(sizes)), np.int32)
         for k, n in enumerate(live):
             grid[k, :n] = flat[begins[:n] + k]
-        for lang, steps in enumerate(self.tables):
-            at, done = np.zeros(len(sizes), steps.dtype), np.zeros(len(sizes), np.int64)
+        for lang, look in enumerate(self.tables):
+            at, done = np.zeros(len(sizes), self.kind), np.zeros(len(sizes), np.int32)
+            marked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             for k, n in enumerate(live):
-                found = steps[at[:n] + grid[k, :n]]
+                found = look(at[:n], grid[k, :n])
                 done[:n] += found & 3
-                at[:n] = found >> 2
-            total[:, lang] = np.bincount(owner, done + (at > 0), len(texts))
+                np.right_shift(found, 2, out=at[:n])
+                if k + 1 in MARKS:
+                    marked[k + 1] = at.copy(), done.copy()
+            self._carry(look, grid, live, sizes, follows, marked, at, done)
+            open_at_end = (follows < 0) & (at > 0)
+            total[:, lang] = np.bincount(owner, done + open_at_end, len(texts))
         return total
 
+    @staticmethod
+    def _carry(look: Callable, grid: np.ndarray, live: np.ndarray, sizes: np.ndarray, follows: np.ndarray, marked: dict, at: np.ndarray, done: np.ndarray) -> None:
+        """Makes at and done (end state and phrases of stretches parsed from nothing) those of an unbroken parse of each text.
+
+        marked has, by symbol, the states and phrases that the parses from nothing had there.
+        """
+        first, whole = at.copy(), done.copy()
+        left = np.flatnonzero((follows >= 0) & (at > 0))
+        while len(left):
+            order = np.argsort(follows[left])  # longer stretches have smaller numbers
+            which, now, k, moved = follows[left][order], at[left][order], 0, []
+            held = np.zeros(len(which), np.int32)
+            for mark in (*sorted(marked), len(live)):
+                for k in range(k, mark):  # noqa: B020
+                    n = int(np.searchsorted(which, live[k]))
+                    found = look(now[:n], grid[k, which[:n]])
+                    held[:n] += found & 3
+                    np.right_shift(found, 2, out=now[:n])
+                k = mark
+                over = sizes[which] <= mark
+                met = ~over & (now == marked[mark][0][which]) if mark in marked else np.zeros(len(which), bool)
+                for stop in (over, met) if mark in marked else (over,):
+                    mine = which[stop]
+                    done[mine] = held[stop] if stop is over else whole[mine] + held[stop] - marked[mark][1][mine]
+                    fresh = now[stop] if stop is over else first[mine]
+                    moved.append(mine[(at[mine] != fresh) & (follows[mine] >= 0)])
+                    at[mine] = fresh
+                go = ~(met | over)
+                which, now, held = which[go], now[go], held[go]
+                if len(which) < FEW and (one := getattr(look, "one", None)):  # numpy's calls would cost more than the symbols
+                    for x, state, n in zip(which.tolist(), now.tolist(), held.tolist()):
+                        for c in grid[k : sizes[x], x].tolist():
+                            found = one(state + c)
+                            n, state = n + (found & 3), found >> 2
+                        done[x] = n
+                        if at[x] != state and follows[x] >= 0:
+                            moved.append(np.array([x]))
+                        at[x] = state
+                    break
+            left = np.concatenate(moved)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A language and a score from 0 to 1 for each text: how much shorter the winner's parse is than the next one's."""
         coded = [symbols(t or "") for t in texts]
@@ -188,14 +258,17 @@ def training_text(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, train_chars:
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("th"))
     first = known.groupBy("lang", "th").agg(F.min(F.struct("h", "doc_id")).alias("first"))
-    labelled = first.select("lang", "first.h", "first.doc_id")
+    labelled = first.select("lang", "th", "first.h", "first.doc_id").where("doc_id IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = labelled.withColumn("rank", rank).where(F.col("rank") <= sample_rows).select("doc_id", "lang").distinct()
-    texts: dict[str, set] = {}
-    ids = [r.doc_id for r in chosen.collect()]
-    for r in docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").collect() if ids else []:
-        texts.setdefault(r.lang, set()).add((r.doc_id, r.text))
-    return [(lang, even_shares(list(dict.fromkeys(t for _, t in sorted(rows)))[: 4 * sample_rows], train_chars)) for lang, rows in texts.items()]
+    chosen = [(r.doc_id, r.lang, r.th) for r in labelled.withColumn("rank", rank).where(F.col("rank") <= sample_rows).select("doc_id", "lang", "th").collect()]
+    ids, hashes = [list({r[k] for r in chosen}) for k in (0, 2)]
+    texts: dict[str, dict] = {lang: {} for _, lang, _ in chosen}
+    if chosen:
+        rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("th"), "text").where(F.col("th").isin(hashes))
+        for r in rows.dropDuplicates(["doc_id", "lang", "th"]).collect():
+            if (r.doc_id, r.lang, r.th) in set(chosen):
+                texts[r.lang][r.doc_id, r.th] = r.text
+    return [(lang, even_shares([found[k] for k in sorted(found)], train_chars)) for lang, found in texts.items()]
 
 
 def teaching_row() -> Column:
@@ -203,29 +276,23 @@ def teaching_row() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
-def identify(docs: DataFrame, learn_from: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns in keep (default: all) with lang_pred and score, learnt from learn_from (doc_id, text, lang)."""
+def identify(docs: DataFrame, learn_from: DataFrame, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns in keep (default: all) with a language and a score, learnt from learn_from (doc_id, text, lang).
+
+    The two columns have the given names, and replace columns of those names.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(training_text(learn_from))
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     docs = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, "text"])])
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    names, key = schema.names, uuid.uuid4().hex
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    columns, key = schema.names, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = Languages(shared.value)
-        for b in batches:
-            name, score, held, size = [], [], [], 0
-            for k, t in enumerate(b.column("text")):
-                held.append(t.as_py())
-                size += len(held[-1] or "")
-                if size >= AT_ONCE or k + 1 == len(b):
-                    found = _built[key].predict(held)
-                    name, score, held, size = name + found[0], score + found[1], [], 0
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(name, pa.string()), pa.array(score, pa.float64())], names=names)
+        for b in sliced(batches, "text", AT_ONCE):
+            model = once(key, lambda: Languages(shared.value))
+            name, score = model.predict(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(name, pa.string()), pa.array(score, pa.float64())], names=columns)
 
     return docs.mapInArrow(run, schema)
 
