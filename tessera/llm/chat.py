@@ -15,7 +15,7 @@ The loss mask is the spans of assistant content in code points of the formatted
 Defined cases: null text is empty, null role is an empty role; a null conv_id is a conversation of its own; turns of one
 conversation are ordered by (turn, role, text), null turns first, and repeated rows are repeated turns; an empty table
 gives no conversations. Columns besides conv_id, turn, role and text are ignored. A conversation becomes one row, as it
-is one training text, so it must fit into a string.
+is one training text, so it must fit into a string; the parser's time grows with its length, and hardly with the square of its turns.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from tessera.llm.common import table
 
 _ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"), ("]", "&#93;"))
 _MARKS = (("user", "INST"), ("assistant", "/INST"), ("system", "SYS"))
-ASSISTANT = "assistant"
+ASSISTANT, BLOCK = "assistant", 512
 CONTROL = ("<s>", "</s>", "[=", *(f"[{mark}]" for _, mark in _MARKS))
 
 
@@ -74,17 +74,31 @@ def parse(formatted: Column) -> Column:
         content = F.substring(piece, close + 2, F.length(piece))
         return F.struct(F.when(good, role).alias("role"), unescape(content).alias("text"), (close + 1).cast("long").alias("skip"), F.length(piece).cast("long").alias("size"))
 
-    found = F.transform(pieces, turn)
     empty = F.expr("CAST(array() AS array<struct<role:string,text:string,start:bigint,length:bigint>>)")
-    placed = F.aggregate(
-        found,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("turns")),
-        lambda acc, t: F.struct(
-            (acc["at"] + t["size"] + 4).alias("at"),
-            F.concat(acc["turns"], F.array(F.struct(t["role"].alias("role"), t["text"].alias("text"), (acc["at"] + t["skip"]).alias("start"), (t["size"] - t["skip"]).alias("length")))).alias("turns"),
-        ),
-    )
-    return placed["turns"]
+
+    def placed(part: Column) -> Column:
+        """struct<at, turns>: the turns of some pieces with starts from the first one's, and their whole size."""
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).cast("long").alias("at"), empty.alias("turns")),
+            lambda acc, t: F.struct(
+                (acc["at"] + t["size"] + 4).alias("at"),
+                F.concat(acc["turns"], F.array(F.struct(t["role"].alias("role"), t["text"].alias("text"), (acc["at"] + t["skip"]).alias("start"), (t["size"] - t["skip"]).alias("length")))).alias("turns"),
+            ),
+        )
+
+    def in_blocks(found: Column) -> Column:
+        """Starts are summed up block by block, as each step copies the turns before it."""
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(BLOCK)), lambda k: placed(F.slice(found, k, BLOCK)))
+
+    def joined(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+        moved = lambda x, begin: F.transform(x["turns"], lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), (t["start"] + begin).alias("start"), t["length"].alias("length")))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), moved))
+
+    # one-element arrays bind what is used often, so that it is computed once
+    once = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    return once(F.transform(pieces, turn), lambda found: once(in_blocks(found), joined))
 
 
 def _same(turns: Column, formatted: str) -> Column:

@@ -3,13 +3,16 @@
 Captures (id, url, date, payload) get a SHA-1 digest and a length each. Headers, without their payloads, meet by digest
 and length: of equal payloads of at least LEAST bytes the capture with the largest id is the response, and the others
 become revisit records that refer to it. Archives are WARC/1.1 files with fresh headers, gzipped, written by Spark's own
-writer so that a lost executor leaves no torn file, and at most FILE_RECORDS records long; the writer's line separator
+writer so that a lost executor leaves no torn file, and at most FILE_RECORDS records and about FILE_BYTES bytes long (a larger
+record has a file of its own); the writer's line separator
 is the two line ends that close a record. Reading parses each file by its Content-Length fields, takes digests of the
 payloads that are there, and joins revisits to their responses for what only those hold.
 
-Defined cases: null payload is empty; a null url or date is written as an empty field; captures with equal ids are
-ordered by nothing else, so ids should be unique (equal rows give equal records); an empty table gives archives without
-records and no rows. Further columns are ignored.
+Defined cases: null payload is empty; a null url or date is written as an empty field; each row gives one record, so equal
+rows give equal records; of captures with one payload, all that have the largest id are responses (there are several if
+that id is repeated), and the others refer to that id once; captures without an id are never referred to; payloads may be of any
+size that a row may have, and are read file by file; an empty table gives archives without records and no rows. Further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, fresh_path, table
 
-LEAST, FILE_RECORDS = 1000, 2000
+LEAST, FILE_RECORDS, FILE_BYTES = 1000, 512, 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "id long, record_type string, record_id string, refers_to string, url string, date string, payload_bytes long, payload_digest string"
 
@@ -80,7 +83,15 @@ def records(typed: DataFrame) -> DataFrame:
 
 
 def write_archives(typed: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    records(typed).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    """Files of at most file_records records and about FILE_BYTES bytes; records of different sizes go to different files."""
+    largest, low = typed.agg(F.max("payload_bytes")).first()[0] or 0, 0
+    for number, n in enumerate((FILE_RECORDS, FILE_RECORDS // 16, 1)):
+        high = FILE_BYTES // n if n > 1 else None
+        part = typed if largest < (high or 0) and not number else typed.where((F.col("payload_bytes") >= low) & (F.lit(True) if high is None else F.col("payload_bytes") < high))
+        records(part).write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", min(n, file_records)).text(path)
+        if high is None or largest < high:
+            break
+        low = high
 
 
 def _parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,6 +137,7 @@ def resolve(found: DataFrame) -> DataFrame:
     responses = found.where("record_type = 'response'")
     wanted = found.where("record_type = 'revisit'")
     named = responses.select(F.col("record_id").alias("refers_to"), F.col("id").alias("refers_to_id"), F.col("payload_bytes").alias("full"), F.col("payload_digest").alias("full_digest"))
+    named = named.join(wanted.select("refers_to").distinct(), "refers_to", "left_semi").dropDuplicates(["refers_to"])  # captures of one id share a record's name
     back = wanted.join(named, "refers_to", "left").select("id", "record_type", "record_id", "url", "date", F.col("full").alias("payload_bytes"), F.col("full_digest").alias("payload_digest"), "refers_to_id")
     return responses.select("id", "record_type", "record_id", "url", "date", "payload_bytes", "payload_digest", F.lit(None).cast("long").alias("refers_to_id")).unionByName(back)
 

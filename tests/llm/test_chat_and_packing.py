@@ -62,6 +62,17 @@ def test_control_strings_are_escaped(spark):
         assert not found[k].escaped or not any(c in found[k].formatted.removeprefix("<s>[INST] ").removesuffix("</s>") for c in chat.CONTROL)
 
 
+def test_spans_of_many_turns(spark):
+    """More turns than a block of the parser holds: starts run on from block to block."""
+    from tessera.llm import chat
+
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} " + "é" * (k % 5) + ("</s>" if k % 97 == 0 else "")) for k in range(20_001)]
+    (r,) = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in rows] and r.escaped
+    said = [r.formatted[s.start : s.start + s.length].replace("&lt;", "<") for s in r.loss_spans]
+    assert said == [x[3] for x in rows if x[2] == "assistant"]
+
+
 def test_chat_runs_no_python(spark):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     assert not re.search("Python|Pandas|Arrow", chat.op5_chat_formatting(spark, SMALL)._jdf.queryExecution().explainString(mode))
@@ -162,6 +173,18 @@ def test_bins_that_stay_behind_are_not_lost(spark, tokenizer, monkeypatch):
     check_pieces(packing.best_fit_packing(df, packing.word_tokenizer()).collect(), texts, tokenizer)
 
 
+def test_handing_on_few_bins_loses_no_merge(spark, tokenizer, monkeypatch):
+    """The emptiest bins of each node give as few sequences as all of them, up to the luck of best fit."""
+    rng = random.Random(12)
+    rows = [(k, "word " * rng.choice([rng.randrange(1, 60), rng.randrange(600, 1100), rng.randrange(1, 2000)])) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    counts = []
+    for carry in (10**9, packing.CARRY, 60):
+        monkeypatch.setattr(packing, "CARRY", carry)
+        counts.append(packing.best_fit_packing(docs, packing.word_tokenizer(), 512).select("sequence_id").distinct().count())
+    assert max(counts[1:]) <= counts[0] + 1
+
+
 def test_sequences_hold_their_ids(spark, tokenizer):
     texts = {k: f"some words {k} " * (k + 1) for k in range(30)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")

@@ -97,6 +97,25 @@ def test_records_match_brute_force(spark, tmp_path):
     assert found[7].url == "u X: y" and found[6].url == "" and found[3].date == ""
 
 
+def test_repeated_ids(spark, tmp_path):
+    """A row for each row: those with the largest id are responses, the others refer to it once."""
+    rows = [(5, "u", "d", "x" * 1200), (5, "u", "d", "x" * 1200), (3, "v", "d", "x" * 1200), (None, "w", "d", "x" * 1200), (None, "w", "d", "y" * 1200), (None, "w", "d", "y" * 1200)]
+    found = warc.deduplicate(spark.createDataFrame(rows, "id long, url string, date string, payload string"), f"file://{tmp_path}/w").collect()
+    assert sorted(((r.id, r.record_type, r.refers_to_id, r.payload_bytes) for r in found), key=str) == sorted([(5, "response", None, 1200), (5, "response", None, 1200), (3, "revisit", 5, 1200), (None, "revisit", 5, 1200), (None, "response", None, 1200), (None, "response", None, 1200)], key=str)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 512_000)
+    rows = [(k, "u", "d", f"{k} " + "x" * (600_000 if k % 50 == 7 else 5_000 if k % 7 == 0 else 90)) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, url string, date string, payload string").coalesce(1)
+    found = warc.deduplicate(df, f"file://{tmp_path}/w")
+    assert sorted((r.id, r.payload_bytes) for r in found.collect()) == sorted((r[0], len(r[3])) for r in rows)
+    import gzip
+
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("*.gz")]
+    assert sum(n > 600_000 for n in sizes) == 6 and all(n < 602_000 for n in sizes)
+
+
 def test_archives_are_plain_warc(spark, tmp_path):
     df = spark.createDataFrame([(k, f"http://x/{k}", "2024", "page " * (300 * (k % 2) + 1)) for k in range(50)], "id long, url string, date string, payload string")
     warc.write_archives(warc.with_types(warc.captures(df)), f"file://{tmp_path}/w", file_records=10)
