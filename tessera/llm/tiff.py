@@ -4,11 +4,13 @@ Reading walks the chain of image directories, decodes strips or tiles (stored, P
 horizontal predictor and returns each page's samples in row order. Both byte orders, 1-, 2-, 4-, 8- and 16-bit unsigned
 samples and any number of samples a pixel, chunky or planar, are read; samples of under 8 bits become a byte each, with
 the value that is stored. What is outside this (other widths, floating point, other compressions, the horizontal predictor
-under 8 bits, reversed bit order) raises ValueError, or gives a row with an error.
+under 8 bits, reversed bit order, a header that claims more pixels than its strips could fill) raises ValueError, or gives a
+row with an error. 16-bit samples come out little-endian, whatever the file's byte order.
 Writing makes greyscale pages with the same compressions.
 
 Defined cases: a null file has no pages; a page that can't be read gives a row with its number and the reason, and the next
-one follows; where the chain of directories breaks, a row with page -1 and the reason is the file's last; equal rows each give their pages; key columns are kept, whatever their names, save those named like the results.
+one follows; where the chain of directories breaks, a row with page -1 and the reason is the file's last; equal rows each give their pages; an empty table gives none; files and texts of any length are
+handled one at a time; key columns are kept, whatever their names, save those named like the results.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import table
+from tessera.llm.common import sliced, table
 
 STORED, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 16: "Q"}
 PAD, PAGE_ROWS = 576, 256
-_BAD = (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError, ZeroDivisionError)
+_BAD = (ValueError, KeyError, IndexError, struct.error, zlib.error, TypeError, ZeroDivisionError, OverflowError, MemoryError)
+#: Bytes of pixels that a stored byte can stand for at most: LZW's longest entry, which is longer than deflate's and PackBits' runs.
+MOST_FOR_A_BYTE = 4096
 
 
-@dataclass
-class Page:
+class Page(NamedTuple):
     width: int
     height: int
     bits: int
@@ -45,6 +48,19 @@ class Page:
     pixels: bytes
 
 
+class Form(NamedTuple):
+    """How pages are stored: rows of a strip or tile, and a tile's width if there are tiles."""
+
+    compression: int
+    predictor: int = 1
+    rows: int = 32
+    tile: int | None = None
+
+
+#: How documents are stored, whatever their size.
+FORM = Form(DEFLATE, 2)
+
+
 # Compressions
 
 
@@ -229,10 +245,16 @@ def _page(raw: bytes, order: str, tags: dict[int, tuple]) -> Page:
     tiled = 322 in tags
     across, down = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
     places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
+    if min(width, height, samples, across, down) < 1 or samples % planes:
+        raise ValueError("an image without samples")
+    parts = planes * -(-height // down) * -(-width // across)
+    if len(places) != parts or len(sizes) != parts:
+        raise ValueError("strips or tiles are missing")
+    # before room is made for an image, what the file holds must be able to fill it
+    if (within := sum(min(n, max(0, len(raw) - at)) for at, n in zip(places, sizes))) * MOST_FOR_A_BYTE < height * width * samples * bits // 8:
+        raise ValueError(f"{within} bytes can't hold {width} x {height} pixels")
     image = np.empty((height, width, samples), kind)
     corners = [(plane, y, x) for plane in range(planes) for y in range(0, height, down) for x in range(0, width, across)]
-    if len(places) != len(corners) or len(sizes) != len(corners):
-        raise ValueError("strips or tiles are missing")
     for (plane, y, x), place, n in zip(corners, places, sizes):
         rows = down if tiled else min(down, height - y)
         part = _unpack(raw[place : place + n], compression, rows * -(-across * inside * bits // 8))
@@ -240,7 +262,7 @@ def _page(raw: bytes, order: str, tags: dict[int, tuple]) -> Page:
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
         image[y : y + rows, x : x + across, plane : plane + inside] = part[: height - y, : width - x]
-    return Page(width, height, bits, samples, compression, predictor, tiled, image.tobytes())
+    return Page(width, height, bits, samples, compression, predictor, tiled, image.astype(kind.newbyteorder("<"), copy=False).tobytes())
 
 
 def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows: int = 32, tile: int | None = None) -> bytes:
@@ -284,28 +306,29 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
 _PAGE = [("page", T.IntegerType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("bits", T.IntegerType()), ("samples", T.IntegerType()), ("compression", T.IntegerType()), ("predictor", T.IntegerType()), ("tiled", T.BooleanType()), ("pixels", T.BinaryType()), ("error", T.StringType())]
 
 
+def page_rows(raw: bytes) -> Iterator[tuple]:
+    """_PAGE's fields of each page of a file; a page or a file that can't be read has its reason in the last, and else only a number."""
+    failed = lambda k, e: (k, *[None] * 8, f"{type(e).__name__}: {e}")
+    try:
+        for k, (order, tags) in enumerate(_directories(raw)):
+            try:
+                yield k, *_page(raw, order, tags), None
+            except _BAD as e:
+                yield failed(k, e)
+    except _BAD as e:
+        yield failed(-1, e)
+
+
 def tiff_pages(files: DataFrame, content: str, keys: list[str]) -> DataFrame:
     """A row for each page of each file in a binary column: the keys, page (from 0), its form, pixels in row order, error."""
     keys = [k for k in keys if k not in dict(_PAGE)]
     schema = T.StructType([*(files.schema[k] for k in keys), *(T.StructField(n, t) for n, t in _PAGE)])
     kinds = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
 
-    def rows(raw: bytes) -> Iterator[tuple]:
-        failed = lambda k, e: (k, *[None] * 8, f"{type(e).__name__}: {e}")
-        try:
-            for k, (order, tags) in enumerate(_directories(raw)):
-                try:
-                    p = _page(raw, order, tags)
-                    yield k, p.width, p.height, p.bits, p.samples, p.compression, p.predictor, p.tiled, p.pixels, None
-                except _BAD as e:
-                    yield failed(k, e)
-        except _BAD as e:
-            yield failed(-1, e)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, raw in enumerate(b.column(len(keys))):
-                if raw.is_valid and (found := list(rows(raw.as_py()))):
+                if raw.is_valid and (found := list(page_rows(raw.as_py()))):
                     key = [pa.array([b.column(i)[k].as_py()] * len(found), b.schema.types[i]) for i in range(len(keys))]
                     yield pa.RecordBatch.from_arrays([*key, *(pa.array(x, t) for x, t in zip(zip(*found), kinds))], names=schema.names)
 
@@ -321,12 +344,9 @@ def payload_pages(payload: bytes) -> list[np.ndarray]:
     return [image[k : k + PAGE_ROWS] for k in range(0, len(image), PAGE_ROWS)]
 
 
-def store(payload: bytes) -> bytes:
-    """A TIFF of a payload whose size is a multiple of PAD; its number of rows decides the compression and the layout."""
-    pages, rows = payload_pages(payload), len(payload) // PAD
-    if rows == 1:
-        return write_tiff(pages, LZW, 1, 1)
-    return (lambda: write_tiff(pages, DEFLATE, 2, 16, 192), lambda: write_tiff(pages, PACKBITS, 1, 16), lambda: write_tiff(pages, DEFLATE, 2, 32))[rows % 3]()
+def store(payload: bytes, form: Form = FORM) -> bytes:
+    """A TIFF of a payload whose size is a multiple of PAD."""
+    return write_tiff(payload_pages(payload), *form)
 
 
 def features(pages: list[Page]) -> str:
@@ -340,20 +360,20 @@ def features(pages: list[Page]) -> str:
     return f"pages {len(pages)}; mean {mean:.3f}; deviation {deviation:.3f}; levels {shares}; hash {np.packbits(blocks).tobytes().hex()}"
 
 
-def document_media(docs: DataFrame) -> DataFrame:
+def document_media(docs: DataFrame, form: Form = FORM) -> DataFrame:
     """Each document's text stored as TIFF pages and read back: see op8's columns."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def row(doc: int | None, text: str | None) -> tuple:
         raw = (text or "").encode("utf-8", "surrogatepass")
-        media = store(raw + b"\xff" * (-len(raw) % PAD or PAD * (not raw)))
-        pages = list(read_tiff(media))
+        media = store(raw + b"\xff" * (-len(raw) % PAD or PAD * (not raw)), form)
+        pages = [Page(*p[1:-1]) for p in page_rows(media)]
         back = b"".join(p.pixels for p in pages)
         return doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "text"):
             rows = [row(d, t.as_py()) for d, t in zip(b.column(0).to_pylist(), b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names=names)
 

@@ -70,7 +70,40 @@ def test_other_writers_files():
     raw, image = big_endian_rgb16()
     (page,) = tiff.read_tiff(raw)
     assert (page.width, page.height, page.bits, page.samples) == (3, 2, 16, 3)
-    assert np.array_equal(np.frombuffer(page.pixels, ">u2").reshape(image.shape), image)
+    assert np.array_equal(np.frombuffer(page.pixels, "<u2").reshape(image.shape), image)
+
+
+def test_byte_orders_give_the_same_pixels():
+    """One 16-bit image as a file of either byte order."""
+    pixels = []
+    for order, mark in (("<", b"II"), (">", b"MM")):
+        strip = np.array([258, 65535, 1, 4660], order + "u2").tobytes()
+        tags = [(256, 4), (257, 1), (258, 16), (259, 1), (262, 1), (273, 8), (277, 1), (279, 8)]
+        raw = mark + struct.pack(order + "HI", 42, 16) + strip + struct.pack(order + "H", len(tags))
+        raw += b"".join(struct.pack(order + "HHII", tag, 4, 1, value) for tag, value in tags) + struct.pack(order + "I", 0)
+        (page,) = tiff.read_tiff(raw)
+        pixels.append(page.pixels)
+    assert pixels[0] == pixels[1] == np.array([258, 65535, 1, 4660], "<u2").tobytes()
+
+
+def test_headers_that_claim_too_much(spark):
+    """A page of 300,000 x 3,000,000 pixels in a few bytes is an error row, and the next page is read."""
+    raw = bytearray(tiff.write_tiff([np.zeros((4, 5), np.uint8), np.ones((2, 2), np.uint8)], tiff.STORED))
+    (at,) = struct.unpack_from("<I", raw, 4)
+    for k in range(struct.unpack_from("<H", raw, at)[0]):
+        tag = struct.unpack_from("<H", raw, at + 2 + 12 * k)[0]
+        if tag in (256, 257, 278):
+            struct.pack_into("<I", raw, at + 10 + 12 * k, {256: 300_000, 257: 3_000_000, 278: 3_000_000}[tag])
+    found = tiff.tiff_pages(spark.createDataFrame([(1, bytes(raw))], "id long, content binary"), "content", ["id"]).orderBy("page").collect()
+    assert [r.page for r in found] == [0, 1] and "can't hold" in found[0].error and found[1].pixels == b"\1" * 4
+
+
+@pytest.mark.parametrize("form", [tiff.Form(tiff.STORED), tiff.Form(tiff.LZW, 1, 16), tiff.Form(tiff.PACKBITS, 1, 16), tiff.Form(tiff.DEFLATE, 2, 16, 192), tiff.Form(tiff.LZW, 2, 32, 64)])
+def test_every_form_holds_long_documents(spark, form):
+    texts = [(1, "word " * 40_000), (2, "é" * 200_000), (3, "".join(map(chr, range(32, 3000))) * 40)]
+    for r in tiff.document_media(spark.createDataFrame(texts, "doc_id long, text string"), form).collect():
+        raw = dict(texts)[r.doc_id].encode()
+        assert r.payload_sha256 == hashlib.sha256(raw + b"\xff" * (-len(raw) % 576)).hexdigest()
 
 
 def test_pages_as_rows(spark):
@@ -147,35 +180,68 @@ def test_spans_go(spark):
     assert 2 not in found and found[3].text is None and found[4].n_chars == 10
     assert decontamination.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).count() == 4
     assert decontamination.decontaminate(docs.limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")).collect() == []
+    named = docs.withColumns({"items": F.lit(3), "n_words": F.lit("w"), "hits": F.lit(None).cast("double"), "found": F.lit(1), "text_0": F.lit(2)})
+    for block in (1 << 22, 60):
+        again = {r.doc_id: r for r in decontamination.decontaminate(named, spark.createDataFrame(ITEMS, "item_id long, text string"), block_bytes=block).collect()}
+        assert {d: r.text for d, r in again.items()} == {d: r.text for d, r in found.items()}
+        assert all((r["items"], r.n_words, r.hits, r.found, r.text_0) == (3, "w", None, 1, 2) for r in again.values())
 
 
 # Language ID
 
 
-def slow_phrases(text, labelled, stretch=langid.STRETCH):
-    """Longest matches found by searching the labelled text for each prefix."""
-    n = 0
-    for at in range(0, len(text), stretch):
-        part = text[at : at + stretch]
-        while part:
-            k = 1
-            while k < len(part) and part[: k + 1] in labelled:
-                k += 1
-            part, n = part[k:], n + 1
+def slow_phrases(text, labelled):
+    """Longest matches found by searching the labelled text for each prefix, over the whole text."""
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in labelled:
+            k += 1
+        at, n = at + k, n + 1
     return n
 
 
-def test_phrases_match_brute_force():
+@pytest.mark.parametrize("dense", [langid.DENSE, 10])
+def test_phrases_match_brute_force(monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
     rng = random.Random(9)
     learnt = [(name, ["".join(rng.choices(letters, k=300)) for _ in range(3)]) for name, letters in (("x", "abc de"), ("y", "cde fé"), ("z", "aeiou "))]
+    learnt.append(("w", ["a" * 3000]))
     model = langid.Languages(learnt)
-    texts = ["", "a", "ß", "abcabcabc", *["".join(rng.choices("abcdefé iouß", k=rng.choice([5, 80, 700, 1500]))) for _ in range(40)]]
+    texts = ["", "a", "ß", "abcabcabc", *["".join(rng.choices("abcdefé iouß", k=rng.choice([5, 80, 700, 1500]))) for _ in range(40)], "a" * 4000, "q" * 1100, "a" * 511 + "b" + "a" * 700, "ab" * 900]
     coded = [langid.symbols(t) for t in texts]
     labelled = ["".join(map(chr, np.concatenate([y for t in parts for y in (langid.symbols(t), np.zeros(1, np.uint32))]).tolist())) for _, parts in sorted(learnt)]
     want = [[slow_phrases("".join(map(chr, c.tolist())), text) for text in labelled] for c in coded]
     assert model.phrases(coded).tolist() == want
 
 
+def test_many_letters_take_little_memory():
+    """5,000 letters: the table holds the transitions there are, not a place for each state and letter."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    text = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(24_000))
+    tracemalloc.start()
+    model = langid.Languages([("zh", [text]), ("en", ["the cat and the dog " * 1000])])
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 100 << 20 and model.predict([text[100:200], "the dog"])[0] == ["zh", "en"]
+
+
+def test_prediction_matches_brute_force():
+    """The whole decision: fewest phrases, each weighted with the bits that name a place in the labelled text."""
+    rng = random.Random(4)
+    learnt = [(name, ["".join(rng.choices(letters, k=400))]) for name, letters in (("x", "abc de"), ("y", "cde fé"), ("z", "aeiou "))]
+    texts = ["".join(rng.choices("abcdefé iou", k=rng.choice([1, 9, 60, 900]))) for _ in range(60)] + ["", "12"]
+    code = lambda t: "".join(map(chr, langid.symbols(t).tolist()))
+    labelled = {name: code(parts[0]) + "\0" for name, parts in learnt}
+    names, scores = langid.Languages(learnt).predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        bits = {n: slow_phrases(code(text), labelled[n]) * np.log2(len(labelled[n])) for n in sorted(labelled)}
+        low, then = sorted(bits.values())[:2]
+        assert (name, round(score, 9)) == ((min(bits, key=bits.get), round(1 - low / then, 9)) if code(text) else ("und", 0.0))
+
+
 def test_symbols():
     assert "".join(map(chr, langid.symbols(" -Hé,  12 ß! "))) == "hé\0ß"
     assert len(langid.symbols("12 !")) == 0
@@ -219,6 +285,61 @@ def test_quality_on_held_out_labels(spark):
         assert right >= base and auc > 0.85, (target, right, base, auc)
 
 
+def slow_sites(rows):
+    """{doc_id: [posterior of each target]}: rates of hosts and of paths in them, shrunk, without the document itself."""
+    out = {r[0]: [] for r in rows}
+    for k in (3, 4):
+        overall = min(1 - quality.LEAST, max(quality.LEAST, sum(r[k] for r in rows) / len(rows)))
+        by_host, by_path = {}, {}
+        for r in rows:
+            by_host.setdefault(r[1], []).append(r[k])
+            by_path.setdefault(r[1:3], []).append(r[k])
+
+        def strength(groups):  # [(values, mean of the parent)]
+            n, sizes = sum(len(v) for v, _ in groups), [len(v) for v, _ in groups]
+            if n <= len(groups) or sum(m * m for m in sizes) >= n * n:
+                return 1e3
+            between = sum(len(v) * (np.mean(v) - parent) ** 2 for v, parent in groups)
+            within = sum(float(((np.array(v) - np.mean(v)) ** 2).sum()) for v, _ in groups)
+            spread = (between - (len(groups) - 1) * within / (n - len(groups))) / (n - sum(m * m for m in sizes) / n)
+            return min(1e6, max(1.0, overall * (1 - overall) / max(spread, 1e-9) - 1))
+
+        of_hosts = strength([(v, overall) for v in by_host.values()])
+        of_paths = strength([(v, np.mean(by_host[key[0]])) for key, v in by_path.items()])
+        for r in rows:
+            host = (sum(by_host[r[1]]) - r[k] + of_hosts * overall) / (len(by_host[r[1]]) - 1 + of_hosts)
+            path = (sum(by_path[r[1:3]]) - r[k] + of_paths * host) / (len(by_path[r[1:3]]) - 1 + of_paths)
+            path = min(1 - quality.LEAST, max(quality.LEAST, path))
+            odds = r[k] / (1 - r[k]) * path / (1 - path) * (1 - overall) / overall
+            out[r[0]].append(odds / (1 + odds))
+    return out
+
+
+def test_sites_match_plain_python(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        host, path = rng.choice(["a", "b", "c", None, f"small{k}"]), rng.choice(["x", "y", None])
+        lean = {"a": 0.7, "b": 0.2}.get(host, 0.5)
+        rows.append((k, host, path, min(0.99, max(0.01, rng.gauss(lean, 0.2))), min(0.99, max(0.01, rng.gauss(0.1, 0.1)))))
+    found = quality.with_sites(spark.createDataFrame(rows, "doc_id long, host string, path string, good double, toxic double"))
+    want = slow_sites(rows)
+    for r in found.collect():
+        assert np.allclose([r.good_score, r.toxic_score], want[r.doc_id], rtol=1e-6)
+
+
+def test_evidence_matches_plain_python(spark):
+    """A model's probabilities for texts, worked out by hand from its lexicons, scaling and weights."""
+    rng = random.Random(6)
+    docs = [(k, " ".join(rng.choices(["good", "fine", "plain", "word"] if k % 2 else ["bad", "ugly", "plain", "word"], k=30)), "h", "p") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    model = quality.fit(df, spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(60)], "doc_id long, quality int, toxic int"))
+    for r in quality.document_evidence(df, model).collect():
+        x = (np.array(quality.features(docs[r.doc_id][1], model.lexicons)) - model.mean) / model.scale
+        want = [1 / (1 + np.exp(-np.clip(sum(a * b for a, b in zip(x, w[:-1])) + w[-1], -30, 30))) for w in model.weights]
+        assert np.allclose([r.good, r.toxic], np.clip(want, quality.LEAST, 1 - quality.LEAST))
+
+
 def test_quality_cases(spark):
     texts = [(k, ("good words in a calm sentence. " if k % 2 else "BAD!!! bad | bad ") * 5, "h", "p") for k in range(60)]
     docs = spark.createDataFrame([*texts, (100, None, "h", None), (101, "", None, "p"), (102, "x " * 50_000, None, None), (102, "again", None, None), (None, "z", "h", "p")], "doc_id long, text string, host string, path string").withColumns({"good": F.lit("mine"), "n": F.lit(1), "site_host": F.lit(2)})
