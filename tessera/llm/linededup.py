@@ -10,7 +10,7 @@
 3. Lines that agree on a window of adjacent blocks meet. Windows hold about five words: the longer the line, the fewer
    blocks (TIERS). A line is in each tier that a line of 0.8 to 1.25 times its words is in, so similar lines share one.
 4. Lines that meet are linked if their fingerprints differ in at most RADIUS bits and their edit similarity,
-   1 - distance / longer length, is at least SIMILARITY. At first each line meets one line of each of its buckets, and
+   1 - distance / longer length, is at least SIMILARITY in words or, for lines of under FEW_WORDS words, in characters. At first each line meets one line of each of its buckets, and
    what links is merged. Then only lines of a bucket that are in different groups meet. So every link between lines that
    share a window is found or implied, and many variants of one line cost as many rows as there are variants.
 5. Each group keeps its first occurrence, by (doc_id, line number); all others go, with repeats of equal lines.
@@ -33,10 +33,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import cut, free_name, remove, small, table
+from tessera.llm.common import BROADCAST_ROWS, cut, free_name, remove, small, table
 from tessera.llm.components import connected_components
 
-SIMILARITY, RADIUS, LENGTHS = 0.8, 56, 0.7
+SIMILARITY, RADIUS = 0.8, 40
 #: Lines of fewer words are also compared by characters.
 FEW_WORDS = 10
 BLOCKS, BITS, LANE = 8, 28, 7
@@ -50,6 +50,9 @@ _PLACE = ["doc_id", "dk", "line_no"]
 #: Anything but letters, marks and digits; ASCII is spelt out, as it is tested fastest.
 _GAP = r"[\x00-/:-@\[-`{-\x7F[\x{80}-\x{10FFFF}&&[^\p{L}\p{M}\p{N}]]]+"
 
+#: What is between gaps, in lower case; the pattern of regexp_extract_all is compiled once, that of split for each line.
+_WORD = r"[a-z0-9[\x{80}-\x{10FFFF}&&[\p{L}\p{M}\p{N}]]]+"
+
 
 def normalised(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(line, _GAP, " ")))
@@ -62,8 +65,12 @@ def document_key() -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, dk, line_no, line) of each line that isn't empty."""
-    each = docs.select("doc_id", document_key().alias("dk"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return each.where("line <> ''")
+    keyed = docs.select("doc_id", document_key().alias("dk"), "text")  # by itself, so that the text is hashed once and not for each line
+    return _exploded(keyed)
+
+
+def _exploded(keyed: DataFrame) -> DataFrame:
+    return keyed.select("doc_id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
 
 
 def names() -> list[Column]:
@@ -74,26 +81,26 @@ def names() -> list[Column]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for each different line and kind of fingerprint: kind 0 is over words, kind 1 over runs of characters.
 
-    id, id2: name; main: true in one row a line; n: occurrences; doc_id, dk, line_no: one of them; size: characters of the
-    normalised line; features: how many; held: which blocks have any; q0 to q3: LANE bits of each block in each.
+    id, id2: name; main: true in one row a line; n: occurrences; doc_id, dk, line_no: one of them; features: how many; held: which blocks have any; q0 to q3: LANE bits of each block in each.
     """
     lettered = lines_of(docs).where(F.col("line").rlike(r"[\p{L}\p{M}\p{N}]"))
     merged = lettered.groupBy(*names()).agg(F.first("line").alias("line"), *[F.first(c).alias(c) for c in _PLACE], F.count("*").alias("n"))
-    line = merged.select("id", "id2", "n", *_PLACE, normalised(F.col("line")).alias("norm"))
-    split = line.withColumns({"words": F.array_distinct(F.split("norm", " ", -1)), "size": F.length("norm")})
-    few, short = F.size("words") < 4, (F.size("words") < 5) | (F.col("size") < GRAM_CHARS)
-    split = split.withColumn("chars", F.when(short, F.split("norm", "", -1)))
-    grams = F.transform(F.slice("chars", 1, F.greatest(F.col("size") - GRAM + 1, F.lit(1))), lambda c, k: F.concat(c, *[F.coalesce(F.get("chars", k + i), F.lit("")) for i in range(1, GRAM)]))
+    line = merged.select("id", "id2", "n", *_PLACE, F.length("line").alias("length"), F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)).alias("all"))
+    split = line.withColumn("words", F.array_distinct("all"))
+    few, short = F.size("words") < 4, (F.size("words") < 5) | (F.col("length") < GRAM_CHARS)
+    split = split.withColumn("chars", F.when(short, F.split(F.array_join("all", " "), "", -1)))
+    grams = F.transform(F.slice("chars", 1, F.greatest(F.size("chars") - GRAM + 1, F.lit(1))), lambda c, k: F.concat(c, *[F.coalesce(F.get("chars", k + i), F.lit("")) for i in range(1, GRAM)]))
     view = lambda kind, of, main: F.struct(F.lit(kind).alias("kind"), main.alias("main"), of.alias("of"))
     views = F.array_compact(F.array(F.when(~few, view(0, F.col("words"), F.lit(True))), F.when(short, view(1, F.array_distinct(grams), few))))
-    base = ["id", "id2", "n", *_PLACE, "size"]
+    base = ["id", "id2", "n", *_PLACE]
     seen = split.select(*base, F.explode(views).alias("view")).select(*base, "view.kind", "view.main", F.size("view.of").alias("features"), F.explode("view.of").alias("x"))
-    keys = [*base, "kind", "main", "features"]
-    hashed = seen.select(*keys, F.xxhash64("x").alias("h")).withColumn("block", F.shiftrightunsigned("h", 61).cast("int"))
+    keys, rest = ["id", "id2", "kind"], ["n", *_PLACE, "main", "features"]
+    hashed = seen.select(*keys, *rest, F.xxhash64("x").alias("h")).withColumn("block", F.shiftrightunsigned("h", 61).cast("int"))
     # the rows are already dealt by (id, id2), so what follows doesn't shuffle
-    votes = hashed.select(*keys, "h", F.when(F.col("features") > MOST, F.col("block")).otherwise(-1).alias("alone"), F.when(F.col("features") > MOST, 0).otherwise(F.col("block") * LANE).alias("at"))
+    votes = hashed.select(*keys, *rest, "h", F.when(F.col("features") > MOST, F.col("block")).otherwise(-1).alias("alone"), F.when(F.col("features") > MOST, 0).otherwise(F.col("block") * LANE).alias("at"))
+    same = [F.max(c).alias(c) for c in rest]  # the line's, in each of its rows
     ones = [F.sum(F.expr(f"shiftleft(shiftrightunsigned(h, {j}) & 1L, at)")).alias(f"s{j}") for j in range(BITS)]
-    counted = votes.groupBy(*keys, "alone").agg(*ones, F.sum(F.expr("shiftleft(1L, at)")).alias("c"))
+    counted = votes.groupBy(*keys, "alone").agg(*same, *ones, F.sum(F.expr("shiftleft(1L, at)")).alias("c"))
     # a count is over half of its block's c if adding top - 1 - floor(c / 2) reaches the bit that is worth top
     packed, high = F.col("alone") < 0, 8 * LANE - 9
     half = F.shiftrightunsigned("c", 1)
@@ -105,12 +112,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         bits = [F.shiftrightunsigned((F.col(f"s{k * LANE + j}") + F.col("room")).bitwiseAND(F.col("top")), LANE - 1 - j) for j in range(LANE)]
         return functools.reduce(Column.bitwiseOR, bits)
 
-    quarters = ready.select(*keys, "alone", "c", *[quarter(k).alias(q) for k, q in enumerate(_QUARTERS)])
+    quarters = ready.select(*keys, *rest, "alone", "c", *[quarter(k).alias(q) for k, q in enumerate(_QUARTERS)])
     to = F.col("alone") * LANE
     placed = {q: F.when(packed, F.col(q)).otherwise(F.call_function("shiftleft", F.shiftrightunsigned(q, high - LANE + 1), to)) for q in _QUARTERS}
     held = F.when(packed, F.col("c")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), to))
-    bits = quarters.select(*keys, held.alias("held"), *[placed[q].alias(q) for q in _QUARTERS])
-    return bits.groupBy(*keys).agg(*[F.bit_or(c).alias(c) for c in ("held", *_QUARTERS)])
+    bits = quarters.select(*keys, *rest, held.alias("held"), *[placed[q].alias(q) for q in _QUARTERS])
+    return bits.groupBy(*keys).agg(*same, *[F.bit_or(c).alias(c) for c in ("held", *_QUARTERS)])
 
 
 def buckets(prints: DataFrame) -> DataFrame:
@@ -124,30 +131,38 @@ def buckets(prints: DataFrame) -> DataFrame:
     return masked.select(F.xxhash64("kind", "w", "b", *[F.col(q).bitwiseAND(F.col("mask")) for q in _QUARTERS]).alias("bk"), "id", "kind")
 
 
-def _near(a: str, b: str, radius: int, similarity: float) -> Column:
-    """Whether the fingerprints and lengths of two lines (prefixes of columns) allow a link."""
-    differ = sum((F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}"))) for q in _QUARTERS), F.lit(0))
-    longer, shorter = F.greatest(f"{a}size", f"{b}size"), F.least(f"{a}size", f"{b}size")
-    return (differ <= radius) & (shorter >= longer * F.lit(LENGTHS))
+def _near(a: str, b: str, radius: int) -> Column:
+    """Whether the fingerprints of two lines (prefixes of columns) allow a link."""
+    return sum((F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}"))) for q in _QUARTERS), F.lit(0)) <= radius
 
 
 def words_as_characters(norm: Column) -> Column:
-    """A text with a character for each word, named by the word's hash in a million."""
-    code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1_000_000)) + 0x10000), 8, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " ", -1), code), "")), "UTF-32")
+    """A text with a character for each word, named by the word's hash in 0xF0000."""
+    code = lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(0xF0000)) + 0x10000)  # five digits
+    return F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(F.transform(F.split(norm, " ", -1), code), "000"))), "UTF-32")
+
+
+def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """lines_of() the documents that hold places (w_dk), or of all if there are too many places to broadcast."""
+    if places.count() > BROADCAST_ROWS:
+        return lines_of(docs)
+    keyed = docs.select("doc_id", document_key().alias("dk"), "text")
+    return _exploded(keyed.join(F.broadcast(places.select(F.col("w_dk").alias("dk"))), "dk", "left_semi"))
 
 
 def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b, ..) of lines whose edit similarity suffices. pairs: a table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("w_id")).distinct()
-    wanted = small(cut(prints.where("main").join(ids, F.col("id") == F.col("w_id")).select("w_id", *[F.col(c).alias(f"w_{c}") for c in _PLACE]), "lines-places"))
-    found = lines_of(docs).join(wanted, (F.col("dk") == F.col("w_dk")) & (F.col("line_no") == F.col("w_line_no")) & F.col("doc_id").eqNullSafe(F.col("w_doc_id")))
+    places = cut(prints.where("main").join(ids, F.col("id") == F.col("w_id")).select("w_id", *[F.col(c).alias(f"w_{c}") for c in _PLACE]), "lines-places")
+    wanted = small(places)
+    found = _lines_at(docs, places).join(wanted, (F.col("dk") == F.col("w_dk")) & (F.col("line_no") == F.col("w_line_no")) & F.col("doc_id").eqNullSafe(F.col("w_doc_id")))
     texts = found.select(F.col("w_id").alias("id"), normalised(F.col("line")).alias("norm")).dropDuplicates(["id"])
     texts = cut(texts.select("id", words_as_characters(F.col("norm")).alias("words"), "norm"), "lines-texts")
     texts = texts.select("id", "words", F.when(F.length("words") < FEW_WORDS, F.col("norm")).alias("norm"))
     both = pairs.join(texts.toDF("a", "wa", "ta"), "a").join(texts.toDF("b", "wb", "tb"), "b")
-    within = lambda x, y: f"levenshtein({x}, {y}, CAST(floor(greatest(length({x}), length({y})) * {1 - similarity!r} + 1e-9) AS INT)) >= 0"
-    links = cut(both.where(F.expr(f"{within('wa', 'wb')} OR (ta IS NOT NULL AND tb IS NOT NULL AND {within('ta', 'tb')})")).select(*pairs.columns), "lines-links")
+    # the distance costs length x bound, so a smaller bound, which most links meet, is tried first
+    within = lambda x, y, share=1: f"levenshtein({x}, {y}, CAST(floor(greatest(length({x}), length({y})) * {(1 - similarity) * share!r} + 1e-9) AS INT)) >= 0"
+    links = cut(both.where(F.expr(f"{within('wa', 'wb', 0.35)} OR {within('wa', 'wb')} OR (ta IS NOT NULL AND tb IS NOT NULL AND {within('ta', 'tb')})")).select(*pairs.columns), "lines-links")
     remove(texts)
     return links
 
@@ -156,12 +171,12 @@ def linked(docs: DataFrame, prints: DataFrame, radius: int = RADIUS, similarity:
     """(node, component) of each line that is linked to another, by id. prints: a table of fingerprints()."""
     bucket = Window.partitionBy("bk")
     met = buckets(prints).withColumn("c", F.count("*").over(bucket)).where("c > 1").select("bk", "id", "kind")
-    shared = cut(met.join(prints.select("id", "kind", "size", *_QUARTERS), ["id", "kind"]).select("bk", "id", "size", *_QUARTERS), "lines-shared")
+    shared = cut(met.join(prints.select("id", "kind", *_QUARTERS), ["id", "kind"]).select("bk", "id", *_QUARTERS), "lines-shared")
 
     # at first, each line meets one line of each of its buckets
-    head = F.min(F.struct("id", "size", *_QUARTERS)).over(bucket)
-    stars = shared.select("*", head.alias("h")).where("h.id <> id").select("*", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", "size", *_QUARTERS)])
-    stars = cut(stars.where(_near("", "h_", radius, similarity)).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct(), "lines-met")
+    head = F.min(F.struct("id", *_QUARTERS)).over(bucket)
+    stars = shared.select("*", head.alias("h")).where("h.id <> id").select("*", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", *_QUARTERS)])
+    stars = cut(stars.where(_near("", "h_", radius)).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct(), "lines-met")
     groups = connected_components(verified(docs, prints, stars, similarity), "a", "b")
 
     # what is still apart in a bucket meets; what is together needn't
@@ -169,7 +184,7 @@ def linked(docs: DataFrame, prints: DataFrame, radius: int = RADIUS, similarity:
     placed = shared.join(group, F.col("id") == F.col("g_id"), "left").select(*shared.columns, F.coalesce("g", "id").alias("g"))
     mixed = placed.withColumns({"low": F.min("g").over(bucket), "high": F.max("g").over(bucket)}).where("low <> high").drop("low", "high")
     one, two = (mixed.select("bk", *[F.col(c).alias(f"{side}_{c}") for c in mixed.columns if c != "bk"]) for side in "xy")
-    apart = one.join(two, "bk").where(F.col("x_id") < F.col("y_id")).where(F.col("x_g") != F.col("y_g")).where(_near("x_", "y_", radius, similarity))
+    apart = one.join(two, "bk").where(F.col("x_id") < F.col("y_id")).where(F.col("x_g") != F.col("y_g")).where(_near("x_", "y_", radius))
     apart = apart.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_g").alias("ga"), F.col("y_g").alias("gb")).distinct()
     more = cut(apart.join(stars, ["a", "b"], "left_anti"), "lines-apart")
     remove(shared)
@@ -211,7 +226,7 @@ def _kept(docs: DataFrame, n_lines: str, n_dropped: str, radius: int, similarity
     lines, loses = F.split("text", "\n", -1), F.col(gone).isNotNull()
     rest = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col(gone), k)), "\n")
     columns = [F.when(loses, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in (n_lines, n_dropped)]
-    return found.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines), F.when(loses, F.size(gone)).otherwise(0).cast("long").alias(n_dropped))
+    return found.select(*columns, F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias(n_lines), F.when(loses, F.size(gone)).otherwise(0).cast("long").alias(n_dropped))
 
 
 def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:

@@ -63,7 +63,7 @@ def similar(a, b, similarity=0.8):
 
 
 def linked_lines(texts):
-    """Pairs of different normalised lines that share a window, are near by fingerprint and length, and are similar."""
+    """Pairs of different normalised lines that share a window and are near by fingerprint."""
     seen = {x: views(x) for x in texts}
     buckets = {}
     for x in texts:
@@ -74,7 +74,7 @@ def linked_lines(texts):
         for i, a in enumerate(members):
             for b in members[i + 1 :]:
                 fa, fb = ([y for x in seen[z][kind][1] for y in (x or [False] * 28)] for z in (a, b))
-                if sum(p != q for p, q in zip(fa, fb)) <= 56 and min(len(a), len(b)) >= 0.7 * max(len(a), len(b)):
+                if sum(p != q for p, q in zip(fa, fb)) <= 40:
                     yield a, b
 
 
