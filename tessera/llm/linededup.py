@@ -46,7 +46,7 @@ TIERS, GRAM_WINDOW = ((5, 10, 4), (10, 20, 3), (20, 50, 2), (50, 1 << 31, 1)), 2
 MOST = (1 << LANE) - 1
 _ONES = sum(1 << (LANE * c) for c in range(BLOCKS))
 _QUARTERS = [f"q{k}" for k in range(BITS // LANE)]
-_PLACE = ["doc_id", "dk", "line_no"]
+_PLACE, _ONE = ["doc_id", "dk", "line_no"], ["doc_id", "line_no"]
 #: Anything but letters, marks and digits; ASCII is spelt out, as it is tested fastest.
 _GAP = r"[\x00-/:-@\[-`{-\x7F[\x{80}-\x{10FFFF}&&[^\p{L}\p{M}\p{N}]]]+"
 
@@ -70,7 +70,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _exploded(keyed: DataFrame) -> DataFrame:
-    return keyed.select("doc_id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
+    return keyed.select(*[c for c in keyed.columns if c != "text"], F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("line <> ''")
 
 
 def names() -> list[Column]:
@@ -81,20 +81,20 @@ def names() -> list[Column]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for each different line and kind of fingerprint: kind 0 is over words, kind 1 over runs of characters.
 
-    id, id2: name; main: true in one row a line; n: occurrences; doc_id, dk, line_no: one of them; features: how many; held: which blocks have any; q0 to q3: LANE bits of each block in each.
+    id, id2: name; main: true in one row a line; n: occurrences; doc_id, line_no: where one of them is; features: how many; held: which blocks have any; q0 to q3: LANE bits of each block in each.
     """
-    lettered = lines_of(docs).where(F.col("line").rlike(r"[\p{L}\p{M}\p{N}]"))
-    merged = lettered.groupBy(*names()).agg(F.first("line").alias("line"), *[F.first(c).alias(c) for c in _PLACE], F.count("*").alias("n"))
-    line = merged.select("id", "id2", "n", *_PLACE, F.length("line").alias("length"), F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)).alias("all"))
+    lettered = _exploded(docs.select("doc_id", "text")).where(F.col("line").rlike(r"[\p{L}\p{M}\p{N}]"))
+    merged = lettered.groupBy(*names()).agg(F.first("line").alias("line"), *[F.first(c).alias(c) for c in _ONE], F.count("*").alias("n"))
+    line = merged.select("id", "id2", "n", *_ONE, F.length("line").alias("length"), F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)).alias("all"))
     split = line.withColumn("words", F.array_distinct("all"))
     few, short = F.size("words") < 4, (F.size("words") < 5) | (F.col("length") < GRAM_CHARS)
     split = split.withColumn("chars", F.when(short, F.split(F.array_join("all", " "), "", -1)))
     grams = F.transform(F.slice("chars", 1, F.greatest(F.size("chars") - GRAM + 1, F.lit(1))), lambda c, k: F.concat(c, *[F.coalesce(F.get("chars", k + i), F.lit("")) for i in range(1, GRAM)]))
     view = lambda kind, of, main: F.struct(F.lit(kind).alias("kind"), main.alias("main"), of.alias("of"))
     views = F.array_compact(F.array(F.when(~few, view(0, F.col("words"), F.lit(True))), F.when(short, view(1, F.array_distinct(grams), few))))
-    base = ["id", "id2", "n", *_PLACE]
+    base = ["id", "id2", "n", *_ONE]
     seen = split.select(*base, F.explode(views).alias("view")).select(*base, "view.kind", "view.main", F.size("view.of").alias("features"), F.explode("view.of").alias("x"))
-    keys, rest = ["id", "id2", "kind"], ["n", *_PLACE, "main", "features"]
+    keys, rest = ["id", "id2", "kind"], ["n", *_ONE, "main", "features"]
     hashed = seen.select(*keys, *rest, F.xxhash64("x").alias("h")).withColumn("block", F.shiftrightunsigned("h", 61).cast("int"))
     # the rows are already dealt by (id, id2), so what follows doesn't shuffle
     votes = hashed.select(*keys, *rest, "h", F.when(F.col("features") > MOST, F.col("block")).otherwise(-1).alias("alone"), F.when(F.col("features") > MOST, 0).otherwise(F.col("block") * LANE).alias("at"))
@@ -143,26 +143,27 @@ def words_as_characters(norm: Column) -> Column:
 
 
 def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """lines_of() the documents that hold places (w_dk), or of all if there are too many places to broadcast."""
-    if places.count() > BROADCAST_ROWS:
-        return lines_of(docs)
-    keyed = docs.select("doc_id", document_key().alias("dk"), "text")
-    return _exploded(keyed.join(F.broadcast(places.select(F.col("w_dk").alias("dk"))), "dk", "left_semi"))
+    """(doc_id, line_no, line) of the documents that hold places (w_doc_id), or of all if there are too many places to broadcast."""
+    if places.count() <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(places.select("w_doc_id").distinct()), F.col("doc_id").eqNullSafe(F.col("w_doc_id")), "left_semi")
+    return _exploded(docs.select("doc_id", "text"))
 
 
 def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b, ..) of lines whose edit similarity suffices. pairs: a table."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("w_id")).distinct()
-    places = cut(prints.where("main").join(ids, F.col("id") == F.col("w_id")).select("w_id", *[F.col(c).alias(f"w_{c}") for c in _PLACE]), "lines-places")
+    places = cut(prints.where("main").join(ids, F.col("id") == F.col("w_id")).select("w_id", *[F.col(c).alias(f"w_{c}") for c in _ONE]), "lines-places")
     wanted = small(places)
-    found = _lines_at(docs, places).join(wanted, (F.col("dk") == F.col("w_dk")) & (F.col("line_no") == F.col("w_line_no")) & F.col("doc_id").eqNullSafe(F.col("w_doc_id")))
+    # documents may share an id, so a line is the one that is wanted only if its name is
+    here = (F.xxhash64("line") == F.col("w_id")) & (F.col("line_no") == F.col("w_line_no")) & F.col("doc_id").eqNullSafe(F.col("w_doc_id"))
+    found = _lines_at(docs, places).join(wanted, here)
     texts = found.select(F.col("w_id").alias("id"), normalised(F.col("line")).alias("norm")).dropDuplicates(["id"])
     texts = cut(texts.select("id", words_as_characters(F.col("norm")).alias("words"), "norm"), "lines-texts")
     texts = texts.select("id", "words", F.when(F.length("words") < FEW_WORDS, F.col("norm")).alias("norm"))
     both = pairs.join(texts.toDF("a", "wa", "ta"), "a").join(texts.toDF("b", "wb", "tb"), "b")
     # the distance costs length x bound, so a smaller bound, which most links meet, is tried first
     within = lambda x, y, share=1: f"levenshtein({x}, {y}, CAST(floor(greatest(length({x}), length({y})) * {(1 - similarity) * share!r} + 1e-9) AS INT)) >= 0"
-    links = cut(both.where(F.expr(f"{within('wa', 'wb', 0.35)} OR {within('wa', 'wb')} OR (ta IS NOT NULL AND tb IS NOT NULL AND {within('ta', 'tb')})")).select(*pairs.columns), "lines-links")
+    links = cut(both.where(F.expr(f"{within('wa', 'wb', 0.5)} OR {within('wa', 'wb')} OR (ta IS NOT NULL AND tb IS NOT NULL AND {within('ta', 'tb')})")).select(*pairs.columns), "lines-links")
     remove(texts)
     return links
 
@@ -226,7 +227,7 @@ def _kept(docs: DataFrame, n_lines: str, n_dropped: str, radius: int, similarity
     lines, loses = F.split("text", "\n", -1), F.col(gone).isNotNull()
     rest = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col(gone), k)), "\n")
     columns = [F.when(loses, rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in (n_lines, n_dropped)]
-    return found.select(*columns, F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias(n_lines), F.when(loses, F.size(gone)).otherwise(0).cast("long").alias(n_dropped))
+    return found.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines), F.when(loses, F.size(gone)).otherwise(0).cast("long").alias(n_dropped))
 
 
 def dedup_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
