@@ -17,7 +17,8 @@
 
 The counters of a block's bits sit side by side in longs, BLOCKS lanes in each, for lines of at most MOST different words; for
 longer ones each block is counted by itself. Lines are named by 64-bit hashes of their text. Texts of candidate lines are
-fetched from the documents by position; tables of positions are broadcast only if they have few rows, counted first.
+fetched from the documents by position; tables of positions are broadcast only if they have few rows, counted first; beyond that, bitmaps of
+the positions are, and only lines that these let through are shuffled.
 
 Defined cases: null text has no lines and stays null; lines without a letter, mark or digit are always kept; a document that
 loses every line goes, others keep their order of lines; equal rows (same doc_id and text) keep the same lines; null
@@ -43,6 +44,8 @@ BLOCKS, BITS, LANE = 8, 28, 7
 GRAM, GRAM_CHARS = 3, 40
 #: Different words from (with those 0.8 times as many) and below, and the blocks in a window.
 TIERS, GRAM_WINDOW = ((5, 10, 4), (10, 20, 3), (20, 50, 2), (50, 1 << 31, 1)), 2
+#: Bits of a bitmap, bits for each place that is looked for, and bitmaps at most (32 MB).
+_MAP_BITS, SIEVE_BITS, SIEVE_MAPS = 1 << 15, 16, 8192
 MOST = (1 << LANE) - 1
 _ONES = sum(1 << (LANE * c) for c in range(BLOCKS))
 _QUARTERS = [f"q{k}" for k in range(BITS // LANE)]
@@ -142,11 +145,28 @@ def words_as_characters(norm: Column) -> Column:
     return F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(F.transform(F.split(norm, " ", -1), code), "000"))), "UTF-32")
 
 
+def _sieve(places: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Bitmaps (sieve, bits) of the hashes (w_hash) of n places, SIEVE_BITS bits a place while that is at most SIEVE_MAPS bitmaps; and their number."""
+    maps = min(SIEVE_MAPS, n * SIEVE_BITS // _MAP_BITS + 1)
+    at = F.shiftrightunsigned("w_hash", 15)
+    return places.groupBy(F.pmod(at, F.lit(maps)).alias("sieve")).agg(F.bitmap_construct_agg(F.col("w_hash").bitwiseAND(F.lit(_MAP_BITS - 1))).alias("bits")), maps
+
+
 def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of the documents that hold places (w_doc_id), or of all if there are too many places to broadcast."""
-    if places.count() <= BROADCAST_ROWS:
+    """(doc_id, line_no, line) that hold the lines at places, a table, with few others if these are too many to broadcast.
+
+    What goes on to a join is thus in proportion to the places, and not all texts.
+    """
+    n = places.count()
+    if n <= BROADCAST_ROWS:
         docs = docs.join(F.broadcast(places.select("w_doc_id").distinct()), F.col("doc_id").eqNullSafe(F.col("w_doc_id")), "left_semi")
-    return _exploded(docs.select("doc_id", "text"))
+        return _exploded(docs.select("doc_id", "text"))
+    bits, maps = _sieve(places.withColumn("w_hash", F.xxhash64("w_id", "w_doc_id", "w_line_no")), n)
+    hashed = _exploded(docs.select("doc_id", "text")).withColumn("hash", F.xxhash64(F.xxhash64("line"), "doc_id", "line_no"))
+    met = hashed.join(F.broadcast(bits), F.pmod(F.shiftrightunsigned("hash", 15), F.lit(maps)) == F.col("sieve"))
+    at = F.col("hash").bitwiseAND(F.lit(_MAP_BITS - 1)).cast("int")
+    byte = F.ascii(F.decode(F.substring("bits", F.shiftright(at, 3) + 1, F.lit(1)), "ISO-8859-1"))
+    return met.where(F.call_function("shiftright", byte, at.bitwiseAND(7)).bitwiseAND(1) == 1).select("doc_id", "line_no", "line")
 
 
 def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:

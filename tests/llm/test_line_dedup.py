@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 import xxhash
@@ -215,3 +216,27 @@ def test_short_lines_and_scripts_without_spaces_take_part(spark):
     rows = [(1, "read more\nfirst own text of this page\n\n..."), (2, f"Read more!\n{chinese}\n\n..."), (3, f"{chinese}\nmenu\nmenu"), (4, "อ่านเพิ่มเติม"), (5, "อ่านเพิ่มเติม\nx")]
     found = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: rows[0][1], 2: f"{chinese}\n\n...", 3: "menu", 4: rows[3][1], 5: "x"}
+
+
+def test_few_lines_go_on_to_the_join_of_texts(spark, monkeypatch):
+    """Where places are too many to broadcast, little but what they hold is shuffled, and nothing that they hold is missed."""
+    docs = spark.createDataFrame([(d, "\n".join(f"line {k} of document {d}" for k in range(20))) for d in range(400)], "doc_id long, text string")
+    places = linededup.lines_of(docs).where("line_no = 7 AND doc_id % 10 = 0").select(*linededup.names(), "doc_id", "line_no")
+    places = linededup.cut(places.select(*[F.col(c).alias(f"w_{c}") for c in ("id", "doc_id", "line_no")]), "test-places")
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 5)
+    found = [(r.doc_id, r.line_no) for r in linededup._lines_at(docs, places).collect()]
+    assert {(d, 7) for d in range(0, 400, 10)} <= set(found) and len(found) < 0.2 * 8000
+
+
+def test_shuffled_files_go_with_their_query(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert linededup.cut(counts, "test-counts").count() == 7
+    for _ in range(50):
+        left = {f for f in files() - before if f.endswith(".data") and f.startswith("shuffle_")}
+        if len(left) <= 1:  # the count's own
+            break
+        time.sleep(0.2)
+    assert len(left) <= 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
