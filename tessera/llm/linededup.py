@@ -11,8 +11,10 @@
    blocks (TIERS). A line is in each tier that a line of 0.8 to 1.25 times its words is in, so similar lines share one.
 4. Lines that meet are linked if their fingerprints differ in at most RADIUS bits and their edit similarity,
    1 - distance / longer length, is at least SIMILARITY in words or, for lines of under FEW_WORDS words, in characters. At first each line meets one line of each of its buckets, and
-   what links is merged. Then only lines of a bucket that are in different groups meet. So every link between lines that
-   share a window is found or implied, and many variants of one line cost as many rows as there are variants.
+   what links is merged. Then only lines of a bucket that are in different groups meet, and in buckets of over CROWD rows only
+   those that share one of the rarest fifth (and one more) of their words, as similar lines do (rare_parts() says why). So every
+   link between lines that share a window is found or implied, many variants of one line cost as many rows as there are
+   variants, and a passage that many else different lines hold doesn't make a pair of each two of them.
 5. Each group keeps its first occurrence, by (doc_id, line number); all others go, with repeats of equal lines.
 
 The counters of a block's bits sit side by side in longs, BLOCKS lanes in each, for lines of at most MOST different words; for
@@ -44,6 +46,8 @@ BLOCKS, BITS, LANE = 8, 28, 7
 GRAM, GRAM_CHARS = 3, 40
 #: Different words from (with those 0.8 times as many) and below, and the blocks in a window.
 TIERS, GRAM_WINDOW = ((5, 10, 4), (10, 20, 3), (20, 50, 2), (50, 1 << 31, 1)), 2
+#: Rows of a bucket beyond which not all of its lines meet.
+CROWD = 100
 #: Bits of a bitmap, bits for each place that is looked for, and bitmaps at most (32 MB).
 _MAP_BITS, SIEVE_BITS, SIEVE_MAPS = 1 << 15, 16, 8192
 MOST = (1 << LANE) - 1
@@ -169,23 +173,51 @@ def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     return met.where(F.call_function("shiftright", byte, at.bitwiseAND(7)).bitwiseAND(1) == 1).select("doc_id", "line_no", "line")
 
 
-def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b, ..) of lines whose edit similarity suffices. pairs: a table."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("w_id")).distinct()
+def texts_of(docs: DataFrame, prints: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, words, norm) of the lines of ids (w_id): a character for each word, and the text of those of under FEW_WORDS words."""
     places = cut(prints.where("main").join(ids, F.col("id") == F.col("w_id")).select("w_id", *[F.col(c).alias(f"w_{c}") for c in _ONE]), "lines-places")
     wanted = small(places)
     # documents may share an id, so a line is the one that is wanted only if its name is
     here = (F.xxhash64("line") == F.col("w_id")) & (F.col("line_no") == F.col("w_line_no")) & F.col("doc_id").eqNullSafe(F.col("w_doc_id"))
     found = _lines_at(docs, places).join(wanted, here)
     texts = found.select(F.col("w_id").alias("id"), normalised(F.col("line")).alias("norm")).dropDuplicates(["id"])
-    texts = cut(texts.select("id", words_as_characters(F.col("norm")).alias("words"), "norm"), "lines-texts")
-    texts = texts.select("id", "words", F.when(F.length("words") < FEW_WORDS, F.col("norm")).alias("norm"))
+    texts = texts.select("id", words_as_characters(F.col("norm")).alias("words"), "norm")
+    texts = cut(texts.select("id", "words", F.when(F.length("words") < FEW_WORDS, F.col("norm")).alias("norm")), "lines-texts")
+    remove(places)
+    return texts
+
+
+def _bound(x: str, y: str, similarity: float, share: float = 1) -> str:
+    """The distance up to which two texts of those lengths are similar."""
+    return f"CAST(floor(greatest({x}, {y}) * {(1 - similarity) * share!r} + 1e-9) AS INT)"
+
+
+def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b, ..) of lines whose edit similarity suffices. pairs, texts: tables."""
     both = pairs.join(texts.toDF("a", "wa", "ta"), "a").join(texts.toDF("b", "wb", "tb"), "b")
     # the distance costs length x bound, so a smaller bound, which most links meet, is tried first
-    within = lambda x, y, share=1: f"levenshtein({x}, {y}, CAST(floor(greatest(length({x}), length({y})) * {(1 - similarity) * share!r} + 1e-9) AS INT)) >= 0"
-    links = cut(both.where(F.expr(f"{within('wa', 'wb', 0.5)} OR {within('wa', 'wb')} OR (ta IS NOT NULL AND tb IS NOT NULL AND {within('ta', 'tb')})")).select(*pairs.columns), "lines-links")
-    remove(texts)
-    return links
+    within = lambda x, y, share=1: f"levenshtein({x}, {y}, {_bound(f'length({x})', f'length({y})', similarity, share)}) >= 0"
+    return cut(both.where(F.expr(f"{within('wa', 'wb', 0.5)} OR {within('wa', 'wb')} OR (ta IS NOT NULL AND tb IS NOT NULL AND {within('ta', 'tb')})")).select(*pairs.columns), "lines-links")
+
+
+def rare_parts(texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, size, parts) of each line of texts: similar lines have one of parts in common, and size is its number of words.
+
+    Two texts of at most n words that are d words apart share all but d words of the longer. So, whatever order words are
+    taken in, the first d + 1 of both have one in common; words that fewer lines hold come first. For lines of under
+    FEW_WORDS words the same goes for pairs of characters, of which an edit changes two at most (rounded down after doubling,
+    as the longer text of the two may have a distance more).
+    """
+    most = lambda x, each: F.floor(F.length(x) * ((1 - similarity) * each) + 1e-9).cast("int")
+    pairs = F.transform(F.split(F.concat("norm", F.lit(" ")), "", -1), lambda c, k: F.concat(c, F.coalesce(F.get(F.split(F.concat(F.lit(" "), "norm"), "", -1), k), F.lit(""))))
+    view = lambda kind, of, d: F.struct(F.lit(kind).alias("kind"), of.alias("of"), d.alias("d"))
+    views = F.array_compact(F.array(view(0, F.split("words", "", -1), most("words", 1)), F.when(F.col("norm").isNotNull(), view(1, pairs, most("norm", 2)))))
+    seen = texts.select("id", F.length("words").alias("size"), F.explode(views).alias("view")).select("id", "size", "view.kind", "view.d", F.explode("view.of").alias("x"))
+    counted = seen.groupBy("id", "kind", F.hash("kind", "x").alias("part")).agg(F.first("size").alias("size"), F.first("d").alias("d"), F.count("*").alias("m"))
+    lines = counted.groupBy("part").agg(F.count("*").alias("lines"))
+    before = Window.partitionBy("id", "kind").orderBy("lines", "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.join(lines, "part").withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).where("before <= d")
+    return first.groupBy("id").agg(F.first("size").alias("size"), F.collect_set("part").alias("parts"))
 
 
 def linked(docs: DataFrame, prints: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -198,25 +230,50 @@ def linked(docs: DataFrame, prints: DataFrame, radius: int = RADIUS, similarity:
     head = F.min(F.struct("id", *_QUARTERS)).over(bucket)
     stars = shared.select("*", head.alias("h")).where("h.id <> id").select("*", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("id", *_QUARTERS)])
     stars = cut(stars.where(_near("", "h_", radius)).select(F.least("id", "h_id").alias("a"), F.greatest("id", "h_id").alias("b")).distinct(), "lines-met")
-    groups = connected_components(verified(docs, prints, stars, similarity), "a", "b")
+    texts = texts_of(docs, prints, stars.select(F.explode(F.array("a", "b")).alias("w_id")).distinct())
+    groups = connected_components(verified(texts, stars, similarity), "a", "b")
+    remove(texts)
 
     # what is still apart in a bucket meets; what is together needn't
     group = small(groups).withColumnsRenamed({"node": "g_id", "component": "g"})
     placed = shared.join(group, F.col("id") == F.col("g_id"), "left").select(*shared.columns, F.coalesce("g", "id").alias("g"))
-    mixed = placed.withColumns({"low": F.min("g").over(bucket), "high": F.max("g").over(bucket)}).where("low <> high").drop("low", "high")
-    one, two = (mixed.select("bk", *[F.col(c).alias(f"{side}_{c}") for c in mixed.columns if c != "bk"]) for side in "xy")
-    apart = one.join(two, "bk").where(F.col("x_id") < F.col("y_id")).where(F.col("x_g") != F.col("y_g")).where(_near("x_", "y_", radius))
-    apart = apart.select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_g").alias("ga"), F.col("y_g").alias("gb")).distinct()
-    more = cut(apart.join(stars, ["a", "b"], "left_anti"), "lines-apart")
+    spread = placed.withColumns({"low": F.min("g").over(bucket), "high": F.max("g").over(bucket), "crowd": F.count("*").over(bucket) > CROWD})
+    mixed = cut(spread.where("low <> high").drop("low", "high"), "lines-mixed")
     remove(shared)
+    more = cut(_apart(docs, prints, mixed, radius, similarity).join(stars, ["a", "b"], "left_anti"), "lines-apart")
+    for used in (mixed, stars):
+        remove(used)
     if more.isEmpty():
         return groups
-    joins = verified(docs, prints, more, similarity)
+    texts = texts_of(docs, prints, more.select(F.explode(F.array("a", "b")).alias("w_id")).distinct())
+    joins = verified(texts, more, similarity)
+    remove(texts)
     merged = connected_components(joins, "ga", "gb").toDF("g", "whole")
     alone = joins.select(F.explode(F.array("ga", "gb")).alias("node")).distinct().join(groups, "node", "left_anti").select("node", F.col("node").alias("component"))
     return cut(groups.unionByName(alone).join(merged, F.col("component") == F.col("g"), "left").select("node", F.coalesce("whole", "component").alias("component")), "lines-groups")
 
 
+def _apart(docs: DataFrame, prints: DataFrame, mixed: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b, ga, gb): lines of a bucket in different groups that may be similar. In crowded buckets those that share a rare part meet. mixed: a table."""
+
+    def met(rows: DataFrame, keys: list[str]) -> DataFrame:
+        one, two = (rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in keys]) for side in "xy")
+        return one.join(two, keys).where(F.col("x_id") < F.col("y_id")).where(F.col("x_g") != F.col("y_g")).where(_near("x_", "y_", radius))
+
+    found = [F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_g").alias("ga"), F.col("y_g").alias("gb")]
+    few, many = mixed.where("NOT crowd").drop("crowd"), mixed.where("crowd").drop("crowd")
+    pairs = met(few, ["bk"]).select(*found)
+    if not many.isEmpty():
+        texts = texts_of(docs, prints, many.select(F.col("id").alias("w_id")).distinct())
+        parts = cut(rare_parts(texts, similarity), "lines-parts")
+        remove(texts)
+        # of sizes that similar lines have, and at the first part that both have
+        sizes = f"abs(x_size - y_size) <= {_bound('x_size', 'y_size', similarity)} OR greatest(x_size, y_size) < {FEW_WORDS}"
+        crowds = met(many.join(parts, "id").withColumn("part", F.explode("parts")), ["bk", "part"])
+        pairs = pairs.unionByName(crowds.where(F.expr(sizes)).where("array_min(array_intersect(x_parts, y_parts)) = part").select(*found))
+    return pairs.distinct()
+
+
 def dropped_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, dk, dropped): the numbers of the lines that each document loses."""
     docs = docs.select("doc_id", "text")

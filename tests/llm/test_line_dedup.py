@@ -240,3 +240,44 @@ def test_shuffled_files_go_with_their_query(spark):
         time.sleep(0.2)
     assert len(left) <= 1
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_crowds_that_share_a_passage_make_few_pairs(spark, monkeypatch):
+    """Lines with a common passage but words of their own are not met pair by pair; those of a crowd that are similar are found."""
+    rng = random.Random(3)
+    passage = [f"word{k}" for k in range(45)]
+    rows = [(k, " ".join([f"own{k}a{j}" for j in range(13)] + passage)) for k in range(900)]
+    rows += [(1000 + k, " ".join([f"own{k}a{j}" for j in range(13)] + ["more"] * (k % 4) + passage[: 45 - k % 3])) for k in rng.sample(range(900), 180)]
+    made, real = {}, linededup.cut
+
+    def counting(df, name):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "cut", counting)
+    stay = {r.doc_id for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert made["lines-apart"] < 10 * len(rows)
+    assert stay >= set(range(900)) and len(stay) <= 900 + 18
+
+
+@pytest.mark.parametrize("rows", [0, 400_000])
+def test_crowds_and_many_places_match_brute_force(spark, monkeypatch, rows):
+    """As test_variants_of_lines_match_brute_force, with every bucket a crowd, and lines of few words among them."""
+    monkeypatch.setattr(linededup, "CROWD", 0)
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", rows)
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "bcdf" for b in ("ando", "erin", "ulat", "opis")]
+    base = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 3, 5, 8, 9, 10, 11, 25, 60)))) for _ in range(30)]
+
+    def variant(line):
+        parts = line.split(" ")
+        for _ in range(rng.randrange(0, 2 + len(parts) // 8)):
+            k = rng.randrange(len(parts))
+            parts[k : k + 1] = rng.choice([[parts[k] + "s"], [parts[k][:-1]], [parts[k], parts[k]], [rng.choice(words)], [parts[k]], [parts[k] + " 今天"]])
+        return " ".join(parts)
+
+    docs = [(d, "\n".join(variant(rng.choice(base)) for _ in range(rng.randrange(1, 9)))) for d in range(60)]
+    found = kept(spark, docs)
+    for (doc, _), lines in zip(docs, slow(spark, docs)):
+        assert found[doc].text == "\n".join(lines), doc
