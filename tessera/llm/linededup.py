@@ -11,8 +11,9 @@
    blocks (TIERS). A line is in each tier that a line of 0.8 to 1.25 times its words is in, so similar lines share one.
 4. Lines that meet are linked if their fingerprints differ in at most RADIUS bits and their edit similarity,
    1 - distance / longer length, is at least SIMILARITY in words or, for lines of under FEW_WORDS words, in characters. At first each line meets one line of each of its buckets, and
-   what links is merged. Then only lines of a bucket that are in different groups meet, and in buckets of over CROWD rows only
-   those that share one of the rarest fifth (and one more) of their words, as similar lines do (rare_parts() says why). So every
+   what links is merged. Then only lines of a bucket that are in different groups meet, and in buckets of over CROWD rows outside one group
+   only those that share one of the rarest fifth (and one more) of their words, as similar lines do (rare_parts() says why); where over
+   CROWD rows share a word too, those that share two. So every
    link between lines that share a window is found or implied, many variants of one line cost as many rows as there are
    variants, and a passage that many else different lines hold doesn't make a pair of each two of them.
 5. Each group keeps its first occurrence, by (doc_id, line number); all others go, with repeats of equal lines.
@@ -46,8 +47,10 @@ BLOCKS, BITS, LANE = 8, 28, 7
 GRAM, GRAM_CHARS = 3, 40
 #: Different words from (with those 0.8 times as many) and below, and the blocks in a window.
 TIERS, GRAM_WINDOW = ((5, 10, 4), (10, 20, 3), (20, 50, 2), (50, 1 << 31, 1)), 2
-#: Rows of a bucket beyond which not all of its lines meet.
+#: Rows of a bucket outside one of its groups beyond which not all of its lines meet.
 CROWD = 100
+#: Lines, about, that tell which parts are usual, and how many parts at most count as such.
+USUAL_LINES, USUAL_PARTS = 4096, 1024
 #: Bits of a bitmap, bits for each place that is looked for, and bitmaps at most (32 MB).
 _MAP_BITS, SIEVE_BITS, SIEVE_MAPS = 1 << 15, 16, 8192
 MOST = (1 << LANE) - 1
@@ -201,23 +204,31 @@ def verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
 
 
 def rare_parts(texts: DataFrame, similarity: float) -> DataFrame:
-    """(id, size, parts) of each line of texts: similar lines have one of parts in common, and size is its number of words.
+    """(id, kind, size, d, parts) of each line of texts, a table: similar lines have one of the first d + 1 parts in common; size is the number of words.
 
-    Two texts of at most n words that are d words apart share all but d words of the longer. So, whatever order words are
-    taken in, the first d + 1 of both have one in common; words that fewer lines hold come first. For lines of under
-    FEW_WORDS words the same goes for pairs of characters, of which an edit changes two at most (rounded down after doubling,
-    as the longer text of the two may have a distance more).
+    Two texts of at most n words that are d words apart share all but d words of the longer. So, whatever order different
+    words are taken in, the first that both hold is among the first d + 1 of each; words that few lines hold come first. For
+    lines of under FEW_WORDS words the same goes for pairs of characters, of which an edit changes two at most (rounded down
+    after doubling, as the longer text of the two may have a distance more). If a line has more than d + 1 parts, it has two
+    in common with a similar one, both among the first d + 2, which is how many parts holds.
     """
     most = lambda x, each: F.floor(F.length(x) * ((1 - similarity) * each) + 1e-9).cast("int")
     pairs = F.transform(F.split(F.concat("norm", F.lit(" ")), "", -1), lambda c, k: F.concat(c, F.coalesce(F.get(F.split(F.concat(F.lit(" "), "norm"), "", -1), k), F.lit(""))))
-    view = lambda kind, of, d: F.struct(F.lit(kind).alias("kind"), of.alias("of"), d.alias("d"))
+    view = lambda kind, of, d: F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.transform(of, lambda x: F.hash(F.lit(kind), x))).alias("of"), d.alias("d"))
     views = F.array_compact(F.array(view(0, F.split("words", "", -1), most("words", 1)), F.when(F.col("norm").isNotNull(), view(1, pairs, most("norm", 2)))))
-    seen = texts.select("id", F.length("words").alias("size"), F.explode(views).alias("view")).select("id", "size", "view.kind", "view.d", F.explode("view.of").alias("x"))
-    counted = seen.groupBy("id", "kind", F.hash("kind", "x").alias("part")).agg(F.first("size").alias("size"), F.first("d").alias("d"), F.count("*").alias("m"))
-    lines = counted.groupBy("part").agg(F.count("*").alias("lines"))
-    before = Window.partitionBy("id", "kind").orderBy("lines", "part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counted.join(lines, "part").withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).where("before <= d")
-    return first.groupBy("id").agg(F.first("size").alias("size"), F.collect_set("part").alias("parts"))
+    seen = texts.select("id", F.length("words").alias("size"), F.explode(views).alias("view")).select("id", "size", "view.*")
+    # the order is one for all lines, and any would do: a sample tells the usual parts, which come last, the most frequent at the end
+    sample = seen.where(F.pmod("id", F.lit(texts.count() // USUAL_LINES + 1)) == 0).select(F.explode("of").alias("part"))
+    usual = sample.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "part").limit(USUAL_PARTS)
+    usual = usual.agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("u")).select(F.col("u.part").alias("usual"))
+    order = F.concat(F.array_sort(F.array_except("of", "usual")), F.array_intersect("usual", "of"))
+    return seen.crossJoin(F.broadcast(usual)).select("id", "kind", "size", "d", F.slice(order, F.lit(1), F.col("d") + 2).alias("parts"))
+
+
+def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows of keys that have several groups (g), with low, one of these, and others, the number of rows outside it."""
+    key = Window.partitionBy(*keys)
+    return rows.withColumn("low", F.min("g").over(key)).withColumn("others", F.count_if(F.col("g") != F.col("low")).over(key)).where("others > 0")
 
 
 def linked(docs: DataFrame, prints: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -237,10 +248,9 @@ def linked(docs: DataFrame, prints: DataFrame, radius: int = RADIUS, similarity:
     # what is still apart in a bucket meets; what is together needn't
     group = small(groups).withColumnsRenamed({"node": "g_id", "component": "g"})
     placed = shared.join(group, F.col("id") == F.col("g_id"), "left").select(*shared.columns, F.coalesce("g", "id").alias("g"))
-    spread = placed.withColumns({"low": F.min("g").over(bucket), "high": F.max("g").over(bucket), "crowd": F.count("*").over(bucket) > CROWD})
-    mixed = cut(spread.where("low <> high").drop("low", "high"), "lines-mixed")
+    mixed = cut(_mixed(placed, ["bk"]), "lines-mixed")
     remove(shared)
-    more = cut(_apart(docs, prints, mixed, radius, similarity).join(stars, ["a", "b"], "left_anti"), "lines-apart")
+    more = _apart(docs, prints, mixed, stars, radius, similarity)
     for used in (mixed, stars):
         remove(used)
     if more.isEmpty():
@@ -253,25 +263,38 @@ def linked(docs: DataFrame, prints: DataFrame, radius: int = RADIUS, similarity:
     return cut(groups.unionByName(alone).join(merged, F.col("component") == F.col("g"), "left").select("node", F.coalesce("whole", "component").alias("component")), "lines-groups")
 
 
-def _apart(docs: DataFrame, prints: DataFrame, mixed: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(a, b, ga, gb): lines of a bucket in different groups that may be similar. In crowded buckets those that share a rare part meet. mixed: a table."""
+def _apart(docs: DataFrame, prints: DataFrame, mixed: DataFrame, stars: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b, ga, gb): lines of a bucket in different groups that may be similar, without those of stars; a table. mixed, stars: tables.
+
+    In crowded buckets those that share a rare part meet, and where those of a word are a crowd again, those that share two.
+    """
 
     def met(rows: DataFrame, keys: list[str]) -> DataFrame:
         one, two = (rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in keys]) for side in "xy")
-        return one.join(two, keys).where(F.col("x_id") < F.col("y_id")).where(F.col("x_g") != F.col("y_g")).where(_near("x_", "y_", radius))
+        apart = (F.col("x_g") != F.col("y_g")) & ((F.col("x_g") == F.col("x_low")) | (F.col("x_id") < F.col("y_id")))
+        return one.join(two.where("y_g <> y_low").drop("y_low"), keys).where(apart).where(_near("x_", "y_", radius))
 
-    found = [F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_g").alias("ga"), F.col("y_g").alias("gb")]
-    few, many = mixed.where("NOT crowd").drop("crowd"), mixed.where("crowd").drop("crowd")
-    pairs = met(few, ["bk"]).select(*found)
+    found = [F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), *[F.when(F.col("x_id") < F.col("y_id"), F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("x_g", "y_g", "ga"), ("y_g", "x_g", "gb"))]]
+    few, many = mixed.where(F.col("others") <= CROWD).drop("others"), mixed.where(F.col("others") > CROWD).drop("others", "low")
+    pairs, used = met(few, ["bk"]).select(*found), []
     if not many.isEmpty():
         texts = texts_of(docs, prints, many.select(F.col("id").alias("w_id")).distinct())
         parts = cut(rare_parts(texts, similarity), "lines-parts")
         remove(texts)
+        once = cut(_mixed(many.join(parts, "id").select("*", F.posexplode(F.slice("parts", F.lit(1), F.col("d") + 1)).alias("at", "part")), ["bk", "part"]), "lines-crowds")
+        used = [parts, once]
+        # lines of at most d + 1 parts may have but one in common, which then is named twice; two pairs of characters tell little more than one
+        again = F.when(F.size("parts") <= F.col("d") + 1, F.array("part")).otherwise(F.array().cast("array<int>"))
+        second = F.when((F.col("kind") == 0) & (F.col("others") > CROWD), F.concat(F.slice("parts", F.col("at") + 2, F.size("parts")), again)).otherwise(F.array("part"))
+        twice = once.select("*", F.explode(second).alias("next")).drop("others", "kind", "d", "at")
         # of sizes that similar lines have, and at the first part that both have
         sizes = f"abs(x_size - y_size) <= {_bound('x_size', 'y_size', similarity)} OR greatest(x_size, y_size) < {FEW_WORDS}"
-        crowds = met(many.join(parts, "id").withColumn("part", F.explode("parts")), ["bk", "part"])
-        pairs = pairs.unionByName(crowds.where(F.expr(sizes)).where("array_min(array_intersect(x_parts, y_parts)) = part").select(*found))
-    return pairs.distinct()
+        crowds = met(twice, ["bk", "part", "next"])
+        pairs = pairs.unionByName(crowds.where(F.expr(sizes)).where("get(array_intersect(x_parts, y_parts), 0) = part").select(*found))
+    more = cut(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "lines-apart")
+    for x in used:
+        remove(x)
+    return more
 
 
 def dropped_lines(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:

@@ -281,3 +281,32 @@ def test_crowds_and_many_places_match_brute_force(spark, monkeypatch, rows):
     found = kept(spark, docs)
     for (doc, _), lines in zip(docs, slow(spark, docs)):
         assert found[doc].text == "\n".join(lines), doc
+
+
+def test_crowded_lines_are_told_apart_without_a_row_for_each_word(spark):
+    """A row a line and kind holds the parts that it meets by, with no join by word; similar lines have one or two in common."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "bcdf" for b in ("ando", "erin", "ulat", "opis")]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 4, 8, 9, 10, 25, 60)))) for _ in range(150)]
+    lines += [" ".join(w for w in line.split(" ") if rng.random() > 0.05) for line in lines] + [line + "s" for line in lines]
+    lines = sorted(set(lines) - {""})
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, norm string").withColumn("words", linededup.words_as_characters(F.col("norm")))
+    texts = linededup.cut(texts.withColumn("norm", F.when(F.length("words") < 10, F.col("norm"))), "test-texts")
+    found = linededup.rare_parts(texts, 0.8)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    assert not re.search("HashJoin|SortMergeJoin", found._jdf.queryExecution().explainString(mode))
+    rows = {(r.id, r.kind): r for r in found.collect()}
+    assert len(rows) == sum(1 + (len(x.split(" ")) < 10) for x in lines) and all(len(r.parts) <= r.d + 2 for r in rows.values())
+    pairs = 0
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            for kind, x, y in ((0, a.split(" "), b.split(" ")), (1, a, b)):
+                one, two = rows.get((i, kind)), rows.get((j, kind))
+                if not one or not two or abs(len(x) - len(y)) > 0.2 * max(len(x), len(y)) or distance(x, y) > int(max(len(x), len(y)) * 0.2 + 1e-9):
+                    continue
+                pairs += 1
+                both = [p for p in one.parts if p in two.parts]
+                assert both and both == [p for p in two.parts if p in one.parts]
+                assert both[0] in one.parts[: one.d + 1] and both[0] in two.parts[: two.d + 1]
+                assert len(both) > 1 or (len(one.parts) <= one.d + 1 and len(two.parts) <= two.d + 1)
+    assert pairs > 150
